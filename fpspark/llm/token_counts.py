@@ -12,6 +12,8 @@ and those with an added token in them, are counted as a whole.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -85,9 +87,9 @@ def count_texts(texts: pa.Array, counter: _Counter, first: dict[str, int]) -> np
 
 def frequent_chunks(docs: DataFrame, path: str, n_docs: int = SAMPLE_DOCS, size: int = TABLE) -> dict[str, int]:
     """The first tier: the most frequent chunks of a bounded sample, with their counts of tokens."""
-    words = docs.select("text").limit(n_docs).select(F.explode(F.split(F.left("text", F.lit(SAMPLE_CHARS)), " ")).alias("chunk"))
-    rows = words.filter("length(chunk) between 1 and 64").groupBy("chunk").count().orderBy(F.desc("count"), "chunk").limit(size).collect()
-    chunks = [" " + r.chunk for r in rows]
+    texts = docs.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).filter("text is not null").limit(n_docs).collect()
+    seen = Counter(c for r in texts for c in r.text.split(" ") if 0 < len(c) <= LONGEST)
+    chunks = [" " + c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]]
     return dict(zip(chunks, worker_counter(path).chunks(chunks, {}).tolist(), strict=True))
 
 
