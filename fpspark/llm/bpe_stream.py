@@ -84,6 +84,21 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(*kept).mapInArrow(run, schema)
 
 
+def with_digests(coded: DataFrame, path: str) -> DataFrame:
+    """``coded`` (doc_id, ids) with n_tokens, ids_sha256 and decoded_sha256 of its ids; null ids count as none."""
+    prepare(coded.sparkSession)
+
+    def run(batches):
+        _, _, surface, decimal = worker_codec(path)
+        for batch in batches:
+            lists = pc.fill_null(batch.column(1), []) if batch.column(1).null_count else batch.column(1)
+            parts = [x.values.to_numpy(zero_copy_only=False) for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([len(x) for x in parts], pa.int64()), pa.array([digest(decimal, x) for x in parts], pa.string()), pa.array([digest(surface, x) for x in parts], pa.string())], names=["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = T.StructType([coded.schema["doc_id"], coded.schema["ids"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return coded.select("doc_id", "ids").mapInArrow(run, schema)
+
+
 def decode(coded: DataFrame, path: str, surface: bool = False) -> DataFrame:
     """``coded`` with a column ``decoded``: the text of ``ids``, or with ``surface`` the token strings; null ids give the empty text."""
     from .bpe import SurfaceDecoder, TextDecoder

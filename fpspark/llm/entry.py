@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bagminhash, bpe_stream, dac, line_dedup, quality, token_counts, toxicity
+from . import bagminhash, bpe_stream, dac, line_dedup, lm_scores, mixing, multi_index, quality, token_counts, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn documents with their cell; null sources and languages by name."""
+    drawn = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", *(F.coalesce(c, F.lit(mixing.NULL)).alias(c) for c in ("source", "lang")), "topic", "n_tokens", "probability")
+
+
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_decode_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -35,6 +46,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, and the score to four decimals."""
+    return lm_scores.score_corpus(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,12 +64,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index": op1_multi_index,
+    "op2_mixing": op2_mixing,
     "op3_bpe_transducer": op3_bpe_transducer,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scores": op7_lm_scores,
     "op8_bagminhash": op8_bagminhash,
     "op9_token_ids": op9_token_ids,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.weights_sql(),
+    "op7_lm_scores": """
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS words FROM documents),
+one AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT doc_id, words[i] AS word, CASE WHEN i > 1 THEN words[i - 1] END AS prior FROM one),
+c1 AS (SELECT word, count(*) AS c FROM g GROUP BY ALL),
+c2 AS (SELECT prior, word, count(*) AS c FROM g WHERE prior IS NOT NULL GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM g),
+scored AS (SELECT g.doc_id, CASE WHEN g.prior IS NULL THEN ln(a.c::DOUBLE / (SELECT n FROM n)) ELSE ln(c2.c::DOUBLE / b.c) END AS s
+  FROM g JOIN c1 a ON g.word = a.word LEFT JOIN c1 b ON g.prior = b.word LEFT JOIN c2 ON g.prior = c2.prior AND g.word = c2.word)
+SELECT w.doc_id, count(s) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score FROM w LEFT JOIN scored ON w.doc_id = scored.doc_id GROUP BY w.doc_id
+""",
+}

@@ -1,11 +1,11 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and windows of context that tell quotation from abuse.
 
-The lexicon is learned from labelled documents: terms, and stems marked by a
-final ``*``, that stand in toxic documents and almost nowhere else. Every
-distinct word is run against the trie: the word's Levenshtein automaton (a bit
-mask of its states for each number of edits) steps along the edges of the trie
-and gives up a branch when no state is left. Stems and short terms must match
-exactly, longer terms within one edit.
+The lexicon is learned from labelled documents: words that stand in toxic
+documents and almost nowhere else, more often than chance gives. Every distinct
+word is run against the trie: the word's Levenshtein automaton (a bit mask of
+its states for each number of edits) steps along the edges of the trie and
+gives up a branch when no state is left. Short terms must match exactly, longer
+terms within one edit.
 
 A hit counts as quoted when it stands between quotation marks, on a quoted
 line, or when a word of report or mention stands near; quoted hits weigh on
@@ -15,6 +15,7 @@ score.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -30,11 +31,11 @@ from ..runtime import prepare
 from .chunks import slices, split, strings, text_column
 
 #: The bounded sample that is learned from: documents of each label at most, in the order of a hash of their ids.
-SAMPLE = 5000
-#: Terms at most; least share of toxic documents among those with a term; least groups of toxic documents that a term is in, and their least share.
-MOST_TERMS, PRECISION, LEAST_GROUPS, LEAST_SHARE = 2000, 0.95, 3, 0.004
-#: Lengths of stems; from which length on a term may be misspelled; words to each side that are a hit's context.
-STEMS, FUZZY_FROM, WINDOW = (4, 5, 6), 5, 8
+SAMPLE = {1: 5000, 0: 15_000}
+#: Terms at most; least share of toxic documents among those with a term; most chance that a harmless word stands in toxic documents only.
+MOST_TERMS, PRECISION, CHANCE = 2000, 0.95, 1e-7
+#: From which length on a term may be misspelled; words to each side that are a hit's context.
+FUZZY_FROM, WINDOW = 5, 8
 #: Words of report and mention (fixed values).
 MENTIONS = frozenset("said says quote quoted quotes called word term slur wrote reported zitat sagte wort genannt cita dijo palabra citation dit mot".split())
 OPEN, CLOSE = "\"“«„‘", "\"”»“’"
@@ -55,8 +56,7 @@ class Trie:
 
     def __init__(self, terms):
         self.root: dict = {}
-        self.stems = {t[:-1] for t in terms if t.endswith("*")}
-        self.terms = {t for t in terms if not t.endswith("*")}
+        self.terms = set(terms)
         self.heads: set[tuple[int, str]] = set()
         self.tails: set[tuple[int, str]] = set()
         for t in self.terms:
@@ -73,11 +73,6 @@ class Trie:
         self.head_sizes = sorted({len(h) for _, h in self.heads})
         self.tail_sizes = sorted({len(h) for _, h in self.tails})
 
-    def exact(self, word: str) -> str | None:
-        if word in self.terms:
-            return word
-        return next((word[:n] + "*" for n in STEMS if word[:n] in self.stems and len(word) > n), None)
-
     def near(self, word: str, edits: int = 1) -> str | None:
         """A term within ``edits`` edits of ``word``, the first in order of the alphabet; None if there is none."""
         n = len(word)
@@ -127,7 +122,7 @@ class Scorer:
         word = plain(chunk)
         if len(word) < 3:
             return 0
-        if self.trie.exact(word):
+        if word in self.trie.terms:
             return 1
         return 2 if len(word) >= FUZZY_FROM - 1 and word not in self.clean and self.trie.near(word) else 0
 
@@ -192,7 +187,7 @@ def _sample(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
     """Text and label of the bounded sample. A doc_id with several labels counts as toxic if one is."""
     label = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = F.xxhash64("doc_id")
-    parts = [label.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(SAMPLE) for t in (0, 1)]
+    parts = [label.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(SAMPLE[t]) for t in (0, 1)]
     ids = parts[0].union(parts[1])
     return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(ids), "doc_id").select("text", "toxic", (F.xxhash64("doc_id", F.lit(1)) % 2 == 0).alias("first_half"))
 
@@ -218,23 +213,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     chunks = text.split()
                     group = min((xxhash.xxh64_intdigest(" ".join(chunks[i : i + 5])) for i in range(max(1, len(chunks) - 4))), default=0) >> 1
-                    distinct = {w for w in map(plain, chunks) if len(w) >= 3}
-                    terms = sorted(distinct | {w[:n] + "*" for w in distinct for n in STEMS if len(w) > n})
+                    terms = sorted({w for w in map(plain, set(chunks)) if len(w) >= 3})
                     yield pa.RecordBatch.from_arrays([pa.array([group] * len(terms), pa.int64()), pa.array(terms, pa.string()), pa.array([toxic] * len(terms), pa.int32())], names=["part", "term", "toxic"])
 
     shape = T.StructType([T.StructField("part", T.LongType()), T.StructField("term", T.StringType()), T.StructField("toxic", T.IntegerType())])
     counts = sample.mapInArrow(words, shape).distinct().groupBy("term").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    good = counts.filter((F.col("bad") >= LEAST_GROUPS) & (F.col("bad") >= F.lit(LEAST_SHARE * min(SAMPLE, sizes[1])))).filter(F.col("bad") >= PRECISION * (F.col("bad") + F.col("good")))
-    found = good.orderBy(F.desc("bad"), "term").limit(MOST_TERMS).collect()
-    stems = {r.term for r in found if r.term.endswith("*")}
-    terms = sorted({r.term for r in found if not any(r.term[:n] + "*" in stems for n in STEMS if len(r.term.rstrip("*")) > n)})
+    least = math.ceil(math.log(CHANCE) / math.log(sizes[1] / (sizes[0] + sizes[1])))
+    found = counts.filter((F.col("bad") >= least) & (F.col("bad") >= PRECISION * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "term").limit(MOST_TERMS)
+    terms = sorted(r.term for r in found.collect())
     model = Model(terms)
 
     def near(batches):
         scorer = Scorer(model)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                found = {w for text in batch.column(0).to_pylist() for w in map(plain, set(text.split())) if len(w) >= FUZZY_FROM - 1 and not scorer.trie.exact(w) and scorer.trie.near(w)}
+                found = {w for text in batch.column(0).to_pylist() for w in map(plain, set(text.split())) if len(w) >= FUZZY_FROM - 1 and w not in scorer.trie.terms and scorer.trie.near(w)}
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["form"])
 
     # The weights are fitted on one half of the sample with the near forms of the other: forms of clean text not met before then count too.
@@ -249,7 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), batch.column(1)], names=["a", "b", "c", "toxic"])
 
     rows = sample.filter("not first_half").mapInArrow(features, "a double, b double, c double, toxic int").collect()
-    model.weights = fit_logistic(np.array([[r.a, r.b, r.c] for r in rows]), np.array([r.toxic for r in rows], float))
+    if len({r.toxic for r in rows}) == 2:
+        model.weights = fit_logistic(np.array([[r.a, r.b, r.c] for r in rows]), np.array([r.toxic for r in rows], float))
     others = clean.filter("not first_half").select("text").mapInArrow(near, "form string").distinct().collect()
     model.clean = sorted({*model.clean, *(r.form for r in others)})
     return model
