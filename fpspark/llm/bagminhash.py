@@ -13,12 +13,12 @@ which is what makes long texts cheap. All documents of a batch advance together
 in numpy; a process depends on the shingle, the interval and the seed alone.
 
 Signatures are banded; documents that share a band's bucket are candidates, and
-exact multiset overlap decides. Within a bucket a leader (least id) is held
-against the others. Weighted Jaccard distance is a metric, so a document linked
-to the leader can link only to documents within twice the limit of the leader;
-unless there are such ones not yet linked, all linked ones are done with. The
-rest, if any, gets new leaders, four times as many each round, until no bucket
-holds a pair that is undecided.
+exact multiset overlap decides. Within a bucket the head (least id) is held
+against the others; what links is one class, and pairs within a class need no
+more work. Of the other pairs, each has an end outside the bucket's commonest
+class, so these documents lead in turn, four times as many each round, until
+none is left. Weighted Jaccard distance is a metric: a pair whose distances to
+the head differ by more than the limit cannot link, and is not compared.
 """
 
 from __future__ import annotations
@@ -209,6 +209,50 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, j double")
 
 
+def _linked(held: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """id and component of the documents that link within the buckets of ``held`` (bucket, rep, size)."""
+    limit = 1 - similarity
+
+    def bound(x, y):
+        """The most that multisets of such sizes can agree."""
+        return F.least(x, y) / F.greatest(x, y)
+
+    def decide(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """a, b, j of all pairs decided so far; no pair twice."""
+        pairs = pairs.distinct()
+        found = materialize(_verified(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), texts), "pairs")
+        return found if known is None else known.union(found)
+
+    head = held.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("h")).select("bucket", F.col("h.rep").alias("head"), F.col("h.size").alias("head_size"))
+    met = held.join(head, "bucket").withColumn("bound", bound("size", "head_size"))
+    known = decide(met.filter((F.col("rep") > F.col("head")) & (F.col("bound") >= similarity)).select(F.col("head").alias("a"), F.col("rep").alias("b")), None)
+    # Each document's distance to its bucket's head: exact where decided, else from what the sizes allow to 1.
+    d = met.join(known.select(F.col("a").alias("head"), F.col("b").alias("rep"), "j"), ["head", "rep"], "left")
+    own = F.col("rep") == F.col("head")
+    rows = d.select("bucket", "rep", "size", F.when(own, 0.0).otherwise(1 - F.coalesce("j", "bound")).alias("near"), F.when(own, 0.0).otherwise(1 - F.coalesce("j", F.lit(0.0))).alias("far"), own.alias("done"))
+    rows, leaders = materialize(rows, "rows"), 1
+    while True:
+        classes = components(known.filter(F.col("j") >= similarity).select("a", "b"))
+        labelled = rows.join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        # Undecided pairs differ in label. The bucket's commonest label needs no leaders: each such pair has an end outside.
+        counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        main = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("m.label").alias("main"))
+        open_rows = materialize(labelled.join(main, "bucket"), "open")
+        order = Window.partitionBy("bucket").orderBy("rep")
+        outside = open_rows.filter("label <> main and not done").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leaders)
+        chosen = outside.select("bucket", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"), F.col("near").alias("x_near"), F.col("far").alias("x_far"))
+        chosen = materialize(chosen, "leaders")
+        if chosen.isEmpty():
+            return classes
+        # The distance to the head differs by no more than the distance between the two.
+        possible = (F.col("label") != F.col("x_label")) & (bound("size", "x_size") >= similarity) & (F.col("near") - F.col("x_far") <= limit + 1e-9) & (F.col("x_near") - F.col("far") <= limit + 1e-9)
+        pairs = open_rows.join(chosen, "bucket").filter(possible).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+        known = decide(pairs, known)
+        used = chosen.select("bucket", F.col("x").alias("rep"), F.lit(True).alias("now"))
+        rows = materialize(open_rows.drop("label", "main").join(used, ["bucket", "rep"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now"), "rows")
+        leaders *= 4
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of near-duplicates among ``docs`` (doc_id, text).
 
@@ -231,34 +275,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     banded = materialize(groups.filter("size > 0").select("rep", "size", F.explode("keys").alias("bucket")), "bands")
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("n"))
     held = banded.join(sizes.filter("n > 1").select("bucket"), "bucket")  # documents alone in a bucket meet nobody there
-    edges, leaders = None, 1
-    limit, texts = 1 - similarity, texts.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(features, docs) else texts
-    open_rows = materialize(held, "open")
-    while True:
-        heads = open_rows
-        if leaders == 1:
-            heads = open_rows.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("h")).select("bucket", F.col("h.rep").alias("a"), F.col("h.size").alias("sa"))
-        else:
-            order = Window.partitionBy("bucket").orderBy("rep")
-            heads = open_rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leaders).select("bucket", F.col("rep").alias("a"), F.col("size").alias("sa"))
-        met = open_rows.join(heads, "bucket").filter("rep > a").withColumn("bound", F.least("size", "sa") / F.greatest("size", "sa"))
-        met = materialize(met.select("bucket", "a", F.col("rep").alias("b"), "size", "bound"), "met")
-        pairs = met.filter(F.col("bound") >= similarity).select("a", "b").distinct()
-        found = materialize(_verified(pairs, texts), "pairs")
-        links = found.filter(F.col("j") >= similarity).select("a", "b")
-        edges = links if edges is None else edges.union(links)
-        known = met.join(found, ["a", "b"], "left").select("bucket", "b", "size", (1 - F.coalesce("j", "bound")).alias("d"), F.coalesce(F.col("j") >= similarity, F.lit(False)).alias("link"))
-        state = known.groupBy("bucket", "b").agg(F.min("size").alias("size"), F.max("link").alias("linked"), F.max(~F.col("link") & (F.col("d") <= 2 * limit)).alias("ring"), F.count("*").alias("n"))
-        rings = state.groupBy("bucket").agg(F.max("ring").alias("any_ring"), F.count_if(~F.col("linked")).alias("apart"))
-        # Those that were leaders are done; without a ring, so are those linked to one.
-        rest = state.filter(F.col("n") == leaders) if leaders > 1 else state
-        rest = rest.join(rings.filter("apart > 0"), "bucket").filter("any_ring or not linked").select("bucket", F.col("b").alias("rep"), "size")
-        crowd = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        open_rows = materialize(rest.join(crowd, "bucket"), "open")
-        if open_rows.isEmpty():
-            break
-        leaders *= 4
-    classes = components(edges)
+    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(features, docs) else texts
+    classes = _linked(materialize(held, "held"), texts, similarity)
     named = groups.select("same1", "same2", "size", "own", "rep").join(classes, F.col("rep") == F.col("id"), "left").select("same1", "same2", "size", "own", F.coalesce("component", "rep").alias("class_id"))
     out = members.join(named, ["same1", "same2", "size", "own"])
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
