@@ -129,7 +129,7 @@ class SimilarityEngine:
         """The report of many queries (query_id, smiles)."""
         if filters and not self.has_properties:
             raise ValueError("filters need a table with properties")
-        asked = queries.select("query_id", F.col("smiles").alias("query_smiles"), bits.active_bits(morgan_fp(F.col("smiles"))).alias("bits"), F.lit(float(threshold)).alias("threshold"))
+        asked = queries.select("query_id", F.col("smiles").alias("query_smiles"), morgan_fp(F.col("smiles")).alias("fp")).withColumns({"bits": bits.active_bits("fp"), "threshold": F.lit(float(threshold))}).drop("fp")
         condition = SimilarityQuery((), 0, 1, tuple(filters)).column() if filters else None
         found = search.batch(self.postings, asked, top_k, self.compounds, condition)
         plain = reports.batch_report(asked, found)

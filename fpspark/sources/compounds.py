@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -91,14 +91,14 @@ def with_doc_ids(rows: DataFrame, *order: str) -> DataFrame:
 
 def ingest(spark: SparkSession, path: str | list[str], to: str, config: ReaderConfig = ReaderConfig(), append: bool = False) -> IngestStats:
     """Read compound files, featurize, and write a compound table; a table that exists is an error unless ``append``."""
-    seen = Observation()
-    lines = parse(read_lines(spark, path, config), config).observe(seen, F.count("*").alias("total"), F.count_if("ok").alias("ok"))
-    good = with_doc_ids(lines.filter("ok").select("path", "line", "compound_id", "smiles"), "path", "line")
+    lines = materialize(parse(read_lines(spark, path, config), config).select("path", "line", "compound_id", "smiles", "ok"), "lines")
+    seen = lines.agg(F.count("*").alias("total"), F.count_if("ok").alias("ok")).first()
+    good = with_doc_ids(lines.filter("ok").drop("ok"), "path", "line")
     if append:
         top = spark.read.parquet(to).agg(F.max("doc_id").alias("m")).first().m
         good = good.withColumn("doc_id", F.col("doc_id") + F.lit(-1 if top is None else top) + 1)
     write_compounds(featurize(good.select("doc_id", "compound_id", "smiles")), to, append)
-    return IngestStats(seen.get["total"], seen.get["ok"], seen.get["total"] - seen.get["ok"])
+    return IngestStats(seen.total, seen.ok, seen.total - seen.ok)
 
 
 def write_compounds(compounds: DataFrame, to: str, append: bool = False) -> None:
@@ -118,8 +118,13 @@ def write_meta(spark: SparkSession, to: str, meta: dict) -> None:
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
-    row = spark.read.option("wholetext", True).text(f"{path}/_meta.json").first()
-    return json.loads(row.value)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_meta.json")
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "compounds", schema=COMPOUNDS) -> DataFrame:
