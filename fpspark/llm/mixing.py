@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 #: Values of a dimension with a cell of their own; name of the pooled rest, and of null.
 MOST, REST, NULL = 64, "(rest)", "(null)"
 #: Targets, where none are given: observed shares to this power, scaled to 1. Rounds of raking.
@@ -72,32 +74,33 @@ def factors(cell_rows: DataFrame, targets: dict[str, dict[str, float]] | None =
         return F.transform(F.sequence(F.lit(1), F.size(f"v{k}")), lambda i: F.pow(add(F.filter("x", lambda c: c[f"i{k}"] == i), lambda c: c["w"]), F.lit(power)))
 
     def scaled(k):
-        return F.transform(f"t{k}", lambda t: t / F.aggregate(f"t{k}", F.lit(0.0), lambda s, y: s + y))
+        return F.transform(f"t{k}", lambda t: F.try_divide(t, F.aggregate(f"t{k}", F.lit(0.0), lambda s, y: s + y)))
 
     add = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda s, c: s + f(c))
     one = cell_rows.agg(F.sort_array(F.collect_list(F.struct(*DIMENSIONS, "w"))).alias("cells"))
     for k, d in enumerate(DIMENSIONS):
         one = one.withColumn(f"v{k}", F.array_sort(F.array_distinct(values_of(d))))
     indexed = F.transform("cells", lambda c: F.struct(*[F.array_position(f"v{k}", c[d]).cast("int").alias(f"i{k}") for k, d in enumerate(DIMENSIONS)], c["w"].alias("w")))
-    one = one.withColumn("x", indexed)
+    # An exchange of the one row after each step keeps Spark from computing a step anew for every use of it.
+    one = one.repartition(1).withColumn("x", indexed).repartition(1)
     for k, d in enumerate(DIMENSIONS):
         one = one.withColumn(f"t{k}", given_shares(k, d) if d in targets else own_shares(k))
-        one = one.withColumn(f"t{k}", scaled(k))
+        one = one.repartition(1).withColumn(f"t{k}", scaled(k)).repartition(1)
     ones = [F.transform(f"v{k}", lambda _: F.lit(1.0)).alias(f"f{k}") for k in range(3)]
 
     def raked(state: Column, k: int) -> Column:
         """The state with the factors of dimension k set so that its shares are met."""
         others = [j for j in range(3) if j != k]
         mass = lambda i: add(F.filter("x", lambda c: c[f"i{k}"] == i), lambda c: c["w"] * F.element_at(state[f"f{others[0]}"], c[f"i{others[0]}"]) * F.element_at(state[f"f{others[1]}"], c[f"i{others[1]}"]))
-        new = F.transform(F.sequence(F.lit(1), F.size(f"v{k}")), lambda i: F.coalesce(F.element_at(f"t{k}", i) / F.nullif(mass(i), F.lit(0.0)), F.lit(0.0)))
+        new = F.transform(F.sequence(F.lit(1), F.size(f"v{k}")), lambda i: F.coalesce(F.try_divide(F.element_at(f"t{k}", i), mass(i)), F.lit(0.0)))
         return F.struct(*[(new if j == k else state[f"f{j}"]).alias(f"f{j}") for j in range(3)])
 
     for_rounds = F.sequence(F.lit(0), F.lit(3 * rounds - 1))
     step = lambda s, r: F.when(r % 3 == 0, raked(s, 0)).when(r % 3 == 1, raked(s, 1)).otherwise(raked(s, 2))
-    one = one.withColumn("f", F.aggregate(for_rounds, F.struct(*ones), step))
+    one = one.withColumn("f", F.aggregate(for_rounds, F.struct(*ones), step)).repartition(1)
     product = lambda c: F.element_at("f.f0", c["i0"]) * F.element_at("f.f1", c["i1"]) * F.element_at("f.f2", c["i2"])
-    one = one.withColumn("p", F.transform("x", product))
-    rows = one.select(F.explode(F.arrays_zip("cells", F.transform("p", lambda p: p / F.array_max("p")).alias("p"))).alias("z"))
+    one = one.withColumn("p", F.transform("x", product)).repartition(1)
+    rows = one.select(F.explode(F.arrays_zip("cells", F.transform("p", lambda p: F.try_divide(p, F.array_max("p"))).alias("p"))).alias("z"))
     return rows.select(*[F.col(f"z.cells.{d}").alias(d) for d in DIMENSIONS], F.round(F.col("z.p"), 9).alias("probability"))
 
 
@@ -124,7 +127,8 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
     kept = [c for c in docs.columns if c not in ("topic", "n_tokens", "probability")]
     tagged = _tagged(docs.select(*kept), topic)
     counted = cells(tagged.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens")))
-    table = factors(counted, targets, power)
+    # Both are bounded tables; written, they are computed once.
+    table = materialize(factors(materialize(counted, "cells"), targets, power), "factors")
     # Pooled values are found by their absence from the table, one dimension after the other.
     for d in DIMENSIONS:
         known = table.select(F.col(d).alias("_known")).distinct()
