@@ -6,10 +6,11 @@ document is far if the Jensen-Shannon distance (square root of the divergence
 to base 2, so 0 to 1) of either histogram exceeds a limit. Few characters or
 words scatter more, so a histogram counts only from a least length on.
 
-Common words are those with at least SHARE of a language's words. Such a word
-has that share in some slice of the input, so every slice names its own
-candidates (at most 1 / SHARE each), and a second pass counts these over all
-documents: the counts are exact, the tables bounded, and no word is shuffled.
+Common words are those with at least SHARE of a language's words. Every slice
+of the input names words with half that share in it, with their counts there;
+a common word's counts add up to half its share or more. A second pass counts
+the words of which that is true over all documents: the counts are exact, the
+tables bounded, and no other word is shuffled.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import prepare
+from ..runtime import materialize, prepare
 from .chunks import slices, strings, text_column
 
 #: Least share of a language's words for a common word, and of all words for a language with its own references.
 SHARE, LANG_SHARE = 1 / 400, 1 / 200
 #: Limits of the distances, and the words and characters from which on they count.
-CHAR_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_WORDS = 0.35, 0.62, 200, 50
+CHAR_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_WORDS = 0.28, 0.46, 200, 50
 #: The base rules: fewest words, length of windows, and most per cent of words in repeated windows.
 FEWEST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 CLASSES = ("lower", "upper", "letter", "mark", "digit", "space", "line end", "stop", "punctuation", "symbol", "other")
@@ -165,19 +166,22 @@ def references(docs: DataFrame) -> dict:
                     own = texts.filter(pa.array(langs == lang))
                     split, kinds = Split.of(own), class_counts(own).sum(axis=0)
                     counts = np.bincount(split.codes, minlength=len(split.words))
-                    often = np.flatnonzero(counts >= max(1, SHARE * len(split.codes)))
+                    often = np.flatnonzero((counts >= max(1, SHARE / 2 * len(split.codes))) & pc.not_equal(split.words, "").to_numpy(zero_copy_only=False))
                     words = strings(split.words.take(pa.array(often)))
                     n = 1 + len(CLASSES) + len(words)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(["n"] + ["c"] * len(CLASSES) + ["w"] * len(words)), pa.array(["", *CLASSES, *words]), pa.array([len(split.codes), *kinds.tolist(), *[0] * len(words)], pa.int64())], names=["lang", "kind", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(["n"] + ["c"] * len(CLASSES) + ["w"] * len(words)), pa.array(["", *CLASSES, *words]), pa.array([len(split.codes), *kinds.tolist(), *counts[often].tolist()], pa.int64())], names=["lang", "kind", "key", "n"])
 
     shape = T.StructType([T.StructField("lang", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
-    found = docs.mapInArrow(candidates, shape).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    rows = found.collect()
-    sizes = {r.lang: r.n for r in rows if r.kind == "n"}
-    total = sum(sizes.values())
-    langs = {x for x, n in sizes.items() if n and n >= LANG_SHARE * total}
-    kinds = {(r.lang, r.key): r.n for r in rows if r.kind == "c"}
-    wanted = sorted({r.key for r in rows if r.kind == "w" and r.lang in langs})
+    found = materialize(docs.mapInArrow(candidates, shape).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "references")
+    per_lang = found.filter("kind = 'n'")
+    total = per_lang.agg(F.sum("n")).first()[0] or 0
+    sizes = {r.lang: r.n for r in per_lang.filter(F.col("n") >= max(1, LANG_SHARE * total)).collect()}  # 1 / LANG_SHARE at most
+    langs = sorted(sizes)
+    mine = found.filter(F.col("lang").isin(langs))
+    kinds = {(r.lang, r.key): r.n for r in mine.filter("kind = 'c'").collect()}
+    # Slices in which a common word has less than half its share hold less than half of it: the others name at most 2 / SHARE words.
+    least = F.coalesce(*[F.when(F.col("lang") == x, SHARE / 2 * n) for x, n in sizes.items()]) if sizes else F.lit(0.0)
+    wanted = sorted({r.key for r in mine.filter((F.col("kind") == "w") & (F.col("n") >= least)).select("key").distinct().collect()})
 
     def counted(batches):
         values = pa.array(wanted, pa.large_string())
@@ -194,12 +198,12 @@ def references(docs: DataFrame) -> dict:
 
     words: dict[str, dict[str, float]] = {x: {} for x in langs}
     if wanted:
-        exact = docs.filter(F.col("lang").isin(sorted(langs))).mapInArrow(counted, shape).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        exact = docs.filter(F.col("lang").isin(langs)).mapInArrow(counted, shape).groupBy("lang", "key").agg(F.sum("n").alias("n"))
         for r in exact.collect():
             if r.n >= SHARE * sizes[r.lang]:
                 words[r.lang][r.key] = r.n / sizes[r.lang]
     out = {}
-    for lang in sorted(langs):
+    for lang in langs:
         c = np.array([kinds.get((lang, k), 0) for k in CLASSES], float)
         common = sorted(words[lang], key=lambda w, own=words[lang]: (-own[w], w))
         shares = [words[lang][w] for w in common]
