@@ -23,7 +23,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     for key, most in BATCH.items():
-        if int(re.match(r"\d+", spark.conf.get(key, str(most + 1)))[0]) > most:
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key, str(most + 1)))[0]) <= most:
             spark.conf.set(key, str(most))
     return spark
 
