@@ -24,9 +24,12 @@ import json
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import regex
 
-NONE = 1 << 60
+NONE, NO_RANK = 1 << 60, (1 << 31) - 1
+#: Bytes of the longest pre-token that is encoded together with others.
+TOGETHER = 32
 #: Words of 40 characters at most whose ids a worker remembers.
 REMEMBERED = 200_000
 
@@ -72,6 +75,98 @@ class Transducer:
             longest = max(longest, size[w])
         self.lookahead = max(best.values(), default=0) + longest
         self.size = size
+        self._arrays(max(size) + 1)
+
+    def _arrays(self, n: int) -> None:
+        """The merge list as a hash table in arrays: slots of pair and rank."""
+        slots = 1 << max(4, (4 * len(self.rank)).bit_length())
+        self._mask, self._n = slots - 1, n
+        self._pair, self._rank = np.full(slots, -1, np.int64), np.full(slots, NO_RANK, np.int32)
+        for (u, v), k in self.rank.items():
+            pair = u * n + v
+            at = self._slot(pair)
+            while self._pair[at] >= 0:
+                at = (at + 1) & self._mask
+            self._pair[at], self._rank[at] = pair, k
+        self._tokens = np.array(self.made, np.int64)
+        self._middle, self._final = np.array(self.middle, np.int64), np.array(self.final, np.int64)
+
+    def _slot(self, pair):
+        return (pair * 0x9E3779B1 >> 7) & self._mask
+
+    def ranks(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NO_RANK where there is none."""
+        pair = u * self._n + v
+        at = self._slot(pair)
+        out = np.where(self._pair[at] == pair, self._rank[at], NO_RANK)
+        open_ = np.flatnonzero((out == NO_RANK) & (self._pair[at] >= 0))
+        while len(open_):
+            step = (at[open_] + 1) & self._mask
+            at[open_] = step
+            hit = self._pair[step] == pair[open_]
+            out[open_[hit]] = self._rank[step[hit]]
+            open_ = open_[~hit & (self._pair[step] >= 0)]
+        return out
+
+    def encode_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and all ids, of pre-tokens: short ones advance together, a merge of each at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        counts = np.zeros(len(words), np.int64)
+        place, found = [], []
+        for low, high in ((1, 8), (9, 16), (17, TOGETHER)):
+            rows = np.flatnonzero((sizes >= low) & (sizes <= high))
+            for at in range(0, len(rows), 1 << 15):
+                part = rows[at : at + (1 << 15)]
+                n, ids = self._together([words[i] for i in part.tolist()], sizes[part])
+                counts[part] = n
+                place.append(np.repeat(part, n))
+                found.append(ids)
+        for i in np.flatnonzero(sizes > TOGETHER).tolist():
+            ids = self.encode(words[i])
+            counts[i] = len(ids)
+            place.append(np.full(len(ids), i))
+            found.append(np.array(ids, np.int64))
+        if not found:
+            return counts, np.zeros(0, np.int64)
+        return counts, np.concatenate(found)[np.argsort(np.concatenate(place), kind="stable")]
+
+    def _together(self, words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of like lengths, as the rows of a table of tokens with links to the next and the one before."""
+        n, width = len(words), int(sizes.max()) + 1
+        data = np.frombuffer(b"".join(words), np.uint8)
+        row = np.repeat(np.arange(n), sizes)
+        column = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        last = column == sizes[row] - 1
+        token = np.full((n, width), -1, np.int64)
+        token[row, column] = np.where(last, self._final[data], self._middle[data])
+        rank = np.full((n, width), NO_RANK, np.int32)
+        r, c = row[~last], column[~last]
+        rank[r, c] = self.ranks(token[r, c], token[r, c + 1])
+        after = np.tile(np.arange(1, width + 1), (n, 1))
+        before = np.tile(np.arange(-1, width - 1), (n, 1))
+        live = np.arange(n)
+        while True:
+            at = rank[live].argmin(axis=1)
+            best = rank[live, at]
+            go = best != NO_RANK
+            live, at, best = live[go], at[go], best[go]
+            if not len(live):
+                break
+            gone = after[live, at]
+            new = self._tokens[best]
+            token[live, at], token[live, gone], rank[live, gone] = new, -1, NO_RANK
+            following, prior = after[live, gone], before[live, at]
+            after[live, at] = following
+            inner = following < sizes[live]
+            before[live[inner], following[inner]] = at[inner]
+            rank[live, at] = NO_RANK
+            x, y, z = live[inner], at[inner], following[inner]
+            rank[x, y] = self.ranks(token[x, y], token[x, z])
+            inner = prior >= 0
+            x, y, z = live[inner], prior[inner], at[inner]
+            rank[x, y] = self.ranks(token[x, y], token[x, z])
+        there = token >= 0
+        return there.sum(axis=1), token[there]
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a sequence of ids: lowest rank first, leftmost first."""
@@ -149,6 +244,31 @@ class WordCodec:
             return self._word(text.lower())
         return [i for w in self.words.findall(self.normal(text)) for i in self._word(w)]
 
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and all ids, of many texts without blanks."""
+        words: list[bytes] = []
+        owner: list[int] = []
+        fixed: list[tuple[int, int, list[int]]] = []
+        for k, chunk in enumerate(chunks):
+            if chunk.isascii() and chunk.isalpha():
+                words.append(chunk.lower().encode())
+                owner.append(k)
+            elif "<" in chunk and self.cut and self.cut.search(chunk):
+                fixed.append((k, len(words), self.encode(chunk)))
+            else:
+                for w in self.words.findall(self.normal(chunk)):
+                    words.append(w.encode())
+                    owner.append(k)
+        each, ids = self.machine.encode_many(words)
+        of = np.array(owner, np.int64)
+        counts = np.bincount(of, each, len(chunks)).astype(np.int64)
+        if fixed:
+            by_word = np.concatenate(([0], np.cumsum(each)))
+            ids = np.insert(ids, np.repeat([by_word[at] for _, at, _ in fixed], [len(x) for *_, x in fixed]), [i for *_, x in fixed for i in x])
+            for k, _, x in fixed:
+                counts[k] = len(x)
+        return counts, ids
+
     def _word(self, word: str) -> list[int]:
         ids = self.seen.get(word)
         if ids is None:

@@ -23,7 +23,7 @@ def worker_codec(path: str) -> tuple[WordCodec, Store, pa.Array, pa.Array]:
     """This worker's codec, its chunk store, and the token strings and decimal ids by id."""
     if path not in _codecs:
         codec = WordCodec(path)
-        _codecs[path] = (codec, Store(lambda chunks: [codec.encode(c) for c in chunks]), pa.array(codec.surface), pa.array([str(i) for i in range(len(codec.surface))]))
+        _codecs[path] = (codec, Store(codec.encode_chunks), pa.array(codec.surface), pa.array([str(i) for i in range(len(codec.surface))]))
     return _codecs[path]
 
 

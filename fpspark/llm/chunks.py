@@ -6,19 +6,22 @@ each distinct chunk of a batch once and numpy the rest.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+pa.set_memory_pool(pa.system_memory_pool())  # workers give back what a batch took
+
+
 def text_column(column: pa.Array) -> pa.Array:
     """Texts as large strings, null as the empty text."""
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 24 << 20):
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 6 << 20):
     """The batch in row slices of about ``limit`` bytes of text (a row is never cut)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
     ends = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64))
@@ -52,17 +55,14 @@ def strings(array: pa.Array) -> list[str]:
 class Store:
     """What chunks encode to: at most ``cap`` of them are remembered, in one flat array."""
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], cap: int = 600_000):
-        """encode: the ids of each of a list of chunks."""
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cap: int = 400_000):
+        """encode: the numbers of ids of each of a list of chunks, and all ids."""
         self.encode, self.cap = encode, cap
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
-        self.flat: list[int] = []
-        self.done = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        self.starts, self.lengths, self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and length of each chunk's ids, and the array they are in."""
@@ -71,18 +71,15 @@ class Store:
         if len(self.at) + len(missing) > self.cap and self.at:
             self._clear()
             return self.look_up(distinct)
-        at, flat, starts, lengths = self.at, self.flat, self.starts, self.lengths
-        base = len(self.done[2])
-        for i, ids in zip(missing, self.encode([distinct[i] for i in missing]) if missing else (), strict=True):
-            found[i] = at[distinct[i]] = len(self.done[0]) + len(starts)
-            starts.append(base + len(flat))
-            lengths.append(len(ids))
-            flat.extend(ids)
-        if starts:
-            new = (np.array(starts, np.int64), np.array(lengths, np.int64), np.array(flat, np.uint32))
-            self.done = tuple(np.concatenate(x) for x in zip(self.done, new, strict=True))
-            self.starts, self.lengths, self.flat = [], [], []
-        return self.done[0][found], self.done[1][found], self.done[2]
+        if missing:
+            new = [distinct[i] for i in missing]
+            lengths, ids = self.encode(new)
+            n = len(self.lengths)
+            self.at.update(zip(new, range(n, n + len(new)), strict=True))
+            found[missing] = np.arange(n, n + len(new))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths, self.ids = np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, ids.astype(np.uint32)])
+        return self.starts[found], self.lengths[found], self.ids
 
 
 def encode_texts(texts: pa.Array, store: Store) -> tuple[np.ndarray, np.ndarray]:

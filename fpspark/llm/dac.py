@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import new_path, prepare
+from .bpe import WordCodec
 from .chunks import Store, encode_texts, slices, text_column
 
 MAGIC, BLOCK = b"FPDAC1", 512
 #: Ids after which a segment is closed (with the document it is in), and documents that a range has at least.
-SEGMENT_IDS, RANGE_DOCS = 1 << 20, 4096
+SEGMENT_IDS, RANGE_DOCS = 1 << 16, 4096
 _ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _stores: dict[str, Store] = {}
 
@@ -106,10 +107,7 @@ class Segment:
 
 def worker_store(path: str) -> Store:
     if path not in _stores:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        _stores[path] = Store(lambda chunks: [e.ids for at in range(0, len(chunks), 4096) for e in library.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)])
+        _stores[path] = Store(WordCodec(path).encode_chunks)
     return _stores[path]
 
 
