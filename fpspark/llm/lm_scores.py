@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,7 @@ BACKOFF = 0.4
 FREQUENT, SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 2000, 4096
 #: Buckets for each shuffle partition.
 BUCKETS = 4
+NO_ID = -(1 << 63)  # stands for a null doc_id
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,70 +140,83 @@ def score_corpus(docs: DataFrame) -> DataFrame:
     def pack(batches):
         frequent, log_counts, log_total = known.value
         values = pa.array(frequent, pa.large_string())
-        for whole in batches:
-            for batch in slices(whole):
-                split = Split.of(text_column(batch.column(1)))
-                n, owner, codes = batch.num_rows, split.owner(), split.codes
-                starts = split.offsets[:-1]
-                first = np.zeros(len(codes), bool)
-                first[starts[np.diff(split.offsets) > 0]] = True
-                follows = np.append(~first[1:], False) if len(codes) else first  # the next word is of the same text
-                place = pc.fill_null(pc.index_in(split.words, value_set=values), -1).to_numpy(zero_copy_only=False)
-                h = _hashes(split.words)
-                # frequent words count here and now
-                sign = first.astype(np.int64) - follows
-                mine = place[codes] >= 0
-                own = np.bincount(owner[mine], sign[mine] * log_counts[place[codes[mine]]], n) - np.bincount(owner[first], minlength=n) * log_total
-                # the other words, once for each text
-                rare = ~mine
-                size = np.int64(len(h) + 1)
-                key, at, n_occ = np.unique(owner[rare] * size + codes[rare], return_inverse=True, return_counts=True)
-                coef = np.bincount(at, sign[rare], len(key)).astype(np.int64)
-                # and pairs
-                hw = h[codes]
-                pair = _pairs(hw)[follows[:-1]] if len(hw) > 1 else np.zeros(0, np.uint64)
-                of = owner[:-1][follows[:-1]] if len(hw) > 1 else np.zeros(0, np.int64)
-                with np.errstate(over="ignore"):
-                    order = np.argsort(mix(pair ^ (of.astype(np.uint64) * _G)), kind="stable")
-                pair, of = pair[order], of[order]
-                new = np.ones(len(pair), bool)
-                new[1:] = (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
-                runs = np.diff(np.append(np.flatnonzero(new), len(pair)))
-                keys = np.concatenate([h[key % size], pair[new]])
-                texts = np.concatenate([key // size, of[new]]).astype(np.int64)
-                ns, coefs = np.concatenate([n_occ, runs]), np.concatenate([coef, runs])
-                bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((texts, bucket))
-                keys, texts, ns, coefs, bucket = (x[order] for x in (keys, texts, ns, coefs, bucket))
-                there, at = np.unique(bucket, return_index=True)
-                ids = pc.fill_null(batch.column(0), -(1 << 63)).to_numpy(zero_copy_only=False)
-                ends = pa.array(np.append(at, len(keys)), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys.view(np.int64), ids[texts], ns.astype(np.int32), coefs.astype(np.int32))]
-                nothing = pa.nulls(len(there), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *lists, nothing], names=NAMES)
-                # what is known already: a bucket of its own for each slice, below zero
-                total_words = np.diff(split.offsets)
-                one = pa.array([0, n], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(ids[0] % buckets)], pa.int32()), pa.nulls(1, pa.list_(pa.int64())), pa.ListArray.from_arrays(one, pa.array(ids)), pa.ListArray.from_arrays(one, pa.array(total_words.astype(np.int32))), pa.nulls(1, pa.list_(pa.int32())), pa.ListArray.from_arrays(one, pa.array(own))], names=NAMES)
+        number = TaskContext.get().partitionId() << 32  # of the slice; the same when a task runs again
+        for batch in (part for whole in batches for part in slices(whole)):
+            number += 1
+            split = Split.of(text_column(batch.column(1)))
+            n, owner, codes = batch.num_rows, split.owner(), split.codes
+            first = np.zeros(len(codes), bool)
+            first[split.offsets[:-1][np.diff(split.offsets) > 0]] = True
+            follows = np.append(~first[1:], False) if len(codes) else first  # the next word is of the same text
+            place = pc.fill_null(pc.index_in(split.words, value_set=values), -1).to_numpy(zero_copy_only=False)
+            h = _hashes(split.words)
+            # frequent words count here and now
+            sign = first.astype(np.int64) - follows
+            mine = place[codes] >= 0
+            own = np.bincount(owner[mine], sign[mine] * log_counts[place[codes[mine]]], n) - np.bincount(owner[first], minlength=n) * log_total
+            ids = pc.fill_null(batch.column(0), NO_ID)
+            yield _row(number, [-1], [0, 0], [], [], [], [], [ids.to_numpy(zero_copy_only=False), np.diff(split.offsets), own])
+            # the other words, once for each text
+            size = np.int64(len(h) + 1)
+            key, at, n_occ = np.unique(owner[~mine] * size + codes[~mine], return_inverse=True, return_counts=True)
+            coef = np.bincount(at, sign[~mine], len(key)).astype(np.int32)
+            # and pairs
+            hw = h[codes]
+            pair, of = (_pairs(hw)[follows[:-1]], owner[:-1][follows[:-1]]) if len(hw) > 1 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            with np.errstate(over="ignore"):
+                order = np.argsort(mix(pair ^ (of.astype(np.uint64) * _G)), kind="stable")
+            pair, of = pair[order], of[order]
+            new = np.ones(len(pair), bool)
+            new[1:] = (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
+            runs = np.diff(np.append(np.flatnonzero(new), len(pair))).astype(np.int32)
+            keys = np.concatenate([h[key % size], pair[new]])
+            texts = np.concatenate([key // size, of[new]]).astype(np.int32)
+            ns, coefs = np.concatenate([n_occ.astype(np.int32), runs]), np.concatenate([coef, runs])
+            bucket = (mix(keys) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            keys, texts, ns, coefs, bucket = (x[order] for x in (keys, texts, ns, coefs, bucket))
+            there, at = np.unique(bucket, return_index=True)
+            yield _row(number, there, np.append(at, len(keys)), keys.view(np.int64), texts, ns, coefs, None)
 
     def join(rows: pa.Table) -> pa.Table:
-        """One bucket: count its n-grams, give each document their logarithms."""
-        ids = pc.list_flatten(rows["ids"]).to_numpy()
-        ns = pc.list_flatten(rows["ns"]).to_numpy()
-        if len(rows) and rows["bucket"][0].as_py() < 0:
-            value, n_words = pc.list_flatten(rows["own"]).to_numpy(), ns.astype(np.int64)
-        else:
-            gram = np.unique(pc.list_flatten(rows["keys"]).to_numpy(), return_inverse=True)[1]
-            value = pc.list_flatten(rows["coefs"]).to_numpy() * np.log(np.maximum(np.bincount(gram, ns), 1))[gram]
-            n_words = np.zeros(len(value), np.int64)
-        docs, at = np.unique(ids, return_inverse=True)
-        return pa.table({"id": docs, "n_words": np.bincount(at, n_words, len(docs)).astype(np.int64), "part": np.bincount(at, value, len(docs))})
-
-    long = T.LongType()
-    schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.ArrayType(long)), T.StructField("ids", T.ArrayType(long)), T.StructField("ns", T.ArrayType(T.IntegerType())), T.StructField("coefs", T.ArrayType(T.IntegerType())), T.StructField("own", T.ArrayType(T.DoubleType()))])
-    parts = docs.mapInArrow(pack, schema).groupBy("bucket").applyInArrow(join, "id long, n_words long, part double")
-    out = parts.groupBy("id").agg(F.sum("n_words").alias("n_words"), F.sum("part").alias("log_score"))
-    return out.select(F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"), "n_words", "log_score")
-
-
-NAMES = ("bucket", "keys", "ids", "ns", "coefs", "own")
+        """One bucket: count its n-grams, and add up for each slice what they are worth to each of its texts."""
+        if rows["bucket"][0].as_py() < 0:
+            return rows.select(["slice", "ids", "n_words", "own"]).rename_columns(["slice", "ids", "n_words", "part"]).cast(PARTS)
+        gram = np.unique(pc.list_flatten(rows["keys"]).to_numpy(), return_inverse=True)[1]
+        value = pc.list_flatten(rows["coefs"]).to_numpy() * np.log(np.maximum(np.bincount(gram, pc.list_flatten(rows["ns"]).to_numpy()), 1))[gram]
+        texts = pc.list_flatten(rows["texts"]).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(rows["keys"]).to_numpy())))
+        parts = [np.bincount(texts[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"slice": rows["slice"], "ids": pa.nulls(len(parts), pa.list_(pa.int64())), "n_words": pa.nulls(len(parts), pa.list_(pa.int64())), "part": pa.array(parts, pa.list_(pa.float64()))}).cast(PARTS)
+
+    def total_up(rows: pa.Table) -> pa.Table:
+        """One slice: the sum of its parts."""
+        at = rows["ids"].is_valid().to_pylist().index(True)
+        out = np.zeros(len(rows["ids"][at]))
+        for part in rows["part"].chunks:
+            for x in part:
+                x = x.values.to_numpy(zero_copy_only=False)
+                out[: len(x)] += x
+        return pa.table({"id": rows["ids"][at].values, "n_words": rows["n_words"][at].values, "part": out})
+
+    long, ints = T.LongType(), T.ArrayType(T.IntegerType())
+    shape = T.StructType([T.StructField("slice", long), T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.ArrayType(long)), *(T.StructField(c, ints) for c in ("texts", "ns", "coefs")), T.StructField("ids", T.ArrayType(long)), T.StructField("n_words", T.ArrayType(long)), T.StructField("own", T.ArrayType(T.DoubleType()))])
+    packed = docs.mapInArrow(pack, shape)
+    # What a slice knows by itself goes by slice, the rest by bucket.
+    dealt = F.when(F.col("bucket") < 0, -1 - F.pmod(F.col("slice"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
+    parts = packed.withColumn("bucket", dealt).groupBy("bucket").applyInArrow(join, "slice long, ids array<long>, n_words array<long>, part array<double>")
+    summed = parts.groupBy("slice").applyInArrow(total_up, "id long, n_words long, part double")
+    out = summed.groupBy("id").agg(F.sum("n_words").alias("n_words"), F.sum("part").alias("log_score"))
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "log_score")
+
+
+def _row(number: int, bucket, ends, keys, texts, ns, coefs, own) -> pa.RecordBatch:
+    """Rows of a slice: one for each bucket with its n-grams, or the one with what the slice knows by itself."""
+    n = len(bucket)
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind)) for x, kind in ((keys, pa.int64()), (texts, pa.int32()), (ns, pa.int32()), (coefs, pa.int32()))]
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    known = [pa.nulls(n, pa.list_(k)) for k in kinds] if own is None else [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for x, k in zip(own, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number), pa.int64()), pa.array(bucket, pa.int32()), *lists, *known], names=["slice", "bucket", "keys", "texts", "ns", "coefs", "ids", "n_words", "own"])
+
+
+PARTS = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("part", pa.list_(pa.float64()))])
