@@ -16,8 +16,8 @@ Signatures are banded; documents that share a band's bucket are candidates, and
 exact multiset overlap decides. Within a bucket the head (least id) is held
 against the others; what links is one class, and pairs within a class need no
 more work. Of the other pairs, each has an end outside the bucket's commonest
-class, so these documents lead in turn, four times as many each round, until
-none is left. Weighted Jaccard distance is a metric: a pair whose distances to
+class, so these documents lead in turn, some at first and many times as many in
+later rounds, until none is left. Weighted Jaccard distance is a metric: a pair whose distances to
 the head differ by more than the limit cannot link, and is not compared.
 """
 
@@ -33,10 +33,12 @@ from pyspark.sql import types as T
 
 from ..runtime import materialize, prepare
 from .chunks import slices, strings, text_column
-from .components import components
+from .components import components, rough_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
+#: Documents of a bucket that lead in the first round after its head; rounds after it have as many times more.
+FIRST_LEADERS = 16
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -230,9 +232,10 @@ def _linked(held: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     d = met.join(known.select(F.col("a").alias("head"), F.col("b").alias("rep"), "j"), ["head", "rep"], "left")
     own = F.col("rep") == F.col("head")
     rows = d.select("bucket", "rep", "size", F.when(own, 0.0).otherwise(1 - F.coalesce("j", "bound")).alias("near"), F.when(own, 0.0).otherwise(1 - F.coalesce("j", F.lit(0.0))).alias("far"), own.alias("done"))
-    rows, leaders = materialize(rows, "rows"), 1
+    rows, leaders = materialize(rows, "rows"), FIRST_LEADERS
     while True:
-        classes = components(known.filter(F.col("j") >= similarity).select("a", "b"))
+        links = known.filter(F.col("j") >= similarity).select("a", "b")
+        classes = rough_components(links)  # classes too small only mean more pairs to decide
         labelled = rows.join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
         # Undecided pairs differ in label. The bucket's commonest label needs no leaders: each such pair has an end outside.
         counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
@@ -243,14 +246,14 @@ def _linked(held: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         chosen = outside.select("bucket", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"), F.col("near").alias("x_near"), F.col("far").alias("x_far"))
         chosen = materialize(chosen, "leaders")
         if chosen.isEmpty():
-            return classes
+            return components(links)
         # The distance to the head differs by no more than the distance between the two.
         possible = (F.col("label") != F.col("x_label")) & (bound("size", "x_size") >= similarity) & (F.col("near") - F.col("x_far") <= limit + 1e-9) & (F.col("x_near") - F.col("far") <= limit + 1e-9)
         pairs = open_rows.join(chosen, "bucket").filter(possible).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
         known = decide(pairs, known)
         used = chosen.select("bucket", F.col("x").alias("rep"), F.lit(True).alias("now"))
         rows = materialize(open_rows.drop("label", "main").join(used, ["bucket", "rep"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now"), "rows")
-        leaders *= 4
+        leaders *= FIRST_LEADERS
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
