@@ -11,6 +11,10 @@ of the input names words with half that share in it, with their counts there;
 a common word's counts add up to half its share or more. A second pass counts
 the words of which that is true over all documents: the counts are exact, the
 tables bounded, and no other word is shuffled.
+
+Every language with LEAST words has references of its own, whatever else the
+input holds. Those of the HELD heaviest are broadcast; all words of the others
+are counted in a shuffle, and their references are joined to their documents.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import materialize, prepare
-from .chunks import slices, strings, text_column
+from .chunks import expand, slices, strings, text_column
 
-#: Least share of a language's words for a common word, and of all words for a language with its own references.
-SHARE, LANG_SHARE = 1 / 400, 1 / 200
+#: Least share of a language's words for a common word, and least words of a language with its own references: a common word is there five times.
+SHARE, LEAST = 1 / 400, 2000
+#: Languages whose references are broadcast, at most; those of others are joined.
+HELD = 200
 #: Limits of the distances, and the words and characters from which on they count.
 CHAR_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_WORDS = 0.28, 0.46, 200, 50
 #: The base rules: fewest words, length of windows, and most per cent of words in repeated windows.
@@ -149,10 +155,28 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip((a + b) / 2, 0, 1)), 0.0)
 
 
-def references(docs: DataFrame) -> dict:
-    """Each language's distributions over all documents: {lang: (char classes, common words, their shares)}.
+def reference(classes: list, words: list, counts: list, n: int) -> tuple:
+    """Char classes, common words and their shares, of a language of ``n`` words."""
+    c = np.array(classes, float)
+    shares = [x / n for x in counts]
+    return c / max(c.sum(), 1), words, np.array([*shares, max(0.0, 1 - sum(shares))])
+
+
+class References(dict):
+    """{lang: (char classes, common words, their shares)} of the HELD heaviest languages.
+
+    ``tail``: the same of all others, as a table of classes, words, counts and
+    n (words of the language) by lang, or None; ``tail_chars``: their char classes.
+    """
+
+    tail: DataFrame | None = None
+    tail_chars: tuple = ()
+
+
+def references(docs: DataFrame) -> References:
+    """Each language's distributions over all documents.
 
-    Languages with less than LANG_SHARE of all words have none of their own.
+    Languages with less than LEAST words have none of their own.
     """
     prepare(docs.sparkSession)
     docs = docs.select("lang", "text").filter("text is not null and lang is not null")
@@ -173,9 +197,8 @@ def references(docs: DataFrame) -> dict:
 
     shape = T.StructType([T.StructField("lang", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
     found = materialize(docs.mapInArrow(candidates, shape).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "references")
-    per_lang = found.filter("kind = 'n'")
-    total = per_lang.agg(F.sum("n")).first()[0] or 0
-    sizes = {r.lang: r.n for r in per_lang.filter(F.col("n") >= max(1, LANG_SHARE * total)).collect()}  # 1 / LANG_SHARE at most
+    per_lang = found.filter(f"kind = 'n' and n >= {LEAST}")
+    sizes = {r.lang: r.n for r in per_lang.orderBy(F.desc("n"), "lang").limit(HELD).collect()}
     langs = sorted(sizes)
     mine = found.filter(F.col("lang").isin(langs))
     kinds = {(r.lang, r.key): r.n for r in mine.filter("kind = 'c'").collect()}
@@ -196,50 +219,81 @@ def references(docs: DataFrame) -> dict:
                     at = np.flatnonzero(counts)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(["w"] * len(at), pa.string()), values.take(pa.array(at)).cast(pa.string()), pa.array(counts[at], pa.int64())], names=["lang", "kind", "key", "n"])
 
-    words: dict[str, dict[str, float]] = {x: {} for x in langs}
+    words: dict[str, dict[str, int]] = {x: {} for x in langs}
     if wanted:
         exact = docs.filter(F.col("lang").isin(langs)).mapInArrow(counted, shape).groupBy("lang", "key").agg(F.sum("n").alias("n"))
         for r in exact.collect():
             if r.n >= SHARE * sizes[r.lang]:
-                words[r.lang][r.key] = r.n / sizes[r.lang]
-    out = {}
+                words[r.lang][r.key] = r.n
+    out = References()
     for lang in langs:
-        c = np.array([kinds.get((lang, k), 0) for k in CLASSES], float)
         common = sorted(words[lang], key=lambda w, own=words[lang]: (-own[w], w))
-        shares = [words[lang][w] for w in common]
-        out[lang] = (c / max(c.sum(), 1), common, np.array([*shares, max(0.0, 1 - sum(shares))]))
+        out[lang] = reference([kinds.get((lang, k), 0) for k in CLASSES], common, [words[lang][w] for w in common], sizes[lang])
+    others = per_lang.filter(~F.col("lang").isin(langs)).select("lang", F.col("n").alias("size"))
+    if len(sizes) < HELD or others.isEmpty():
+        return out
+
+    def all_words(batches):
+        for whole in batches:
+            for batch in slices(whole):
+                names = np.array(batch.column(0).to_pylist(), object)
+                texts = text_column(batch.column(1))
+                for lang in np.unique(names):
+                    split = Split.of(texts.filter(pa.array(names == lang)))
+                    counts = np.bincount(split.codes, minlength=len(split.words))
+                    at = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(["w"] * len(at), pa.string()), split.words.take(pa.array(at)).cast(pa.string()), pa.array(counts[at], pa.int64())], names=["lang", "kind", "key", "n"])
+
+    theirs = docs.join(others, "lang", "left_semi").select("lang", "text").mapInArrow(all_words, shape).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    often = theirs.join(others, "lang").filter(F.col("n") >= SHARE * F.col("size")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col("key")))).alias("w"))
+    classes = found.filter("kind = 'c'").groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("c"))
+    tail = others.join(classes, "lang").join(often, "lang", "left").select(
+        "lang",
+        F.array(*[F.coalesce(F.try_element_at("c", F.lit(k)), F.lit(0)) for k in CLASSES]).alias("classes"),
+        F.coalesce(F.col("w.key"), F.array().cast("array<string>")).alias("words"),
+        F.coalesce(F.transform("w", lambda x: -x["less"]), F.array().cast("array<bigint>")).alias("counts"),
+        F.col("size").alias("n"),
+    )
+    out.tail = materialize(tail, "references-tail")
+    out.tail_chars = tuple(reference(r.classes, [], [], 1)[0] for r in out.tail.select("classes").toLocalIterator())  # 11 numbers for each language
     return out
 
 
-def measure(docs: DataFrame, refs: dict) -> DataFrame:
+def measure(docs: DataFrame, refs: References) -> DataFrame:
     """The counts, distances and verdict of every row of ``docs``."""
     spark = prepare(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(refs)
+    sent = spark.sparkContext.broadcast((dict(refs), [*(r[0] for r in refs.values()), *refs.tail_chars]))
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
 
     def run(batches):
-        known = sent.value
+        known, all_chars = sent.value
         for whole in batches:
             for batch in slices(whole):
                 texts, n = text_column(batch.column(2)), batch.num_rows
                 split, kinds = Split.of(texts), class_counts(texts)
                 n_words = np.diff(split.offsets)
                 repeats = repeated_words(split)
-                langs = np.array([x if x in known else None for x in batch.column(1).to_pylist()], object)
-                char_js, word_js = (np.full(n, np.nan) for _ in range(2))
-                for lang, (chars, common, shares) in known.items():
-                    rows = np.array([x is None or x == lang for x in langs], bool)
-                    if not rows.any():
+                langs = np.array(batch.column(1).to_pylist(), object)
+                char_js, word_js = np.zeros(n), np.zeros(n)
+                alone = np.ones(n, bool)
+                for lang in {x for x in langs if x is not None}:
+                    rows = langs == lang
+                    ref = known.get(lang)
+                    if ref is None and batch.num_columns > 3 and (own := batch.slice(int(rows.argmax()), 1).to_pylist()[0])["n"]:
+                        ref = reference(own["classes"], own["words"], own["counts"], own["n"])
+                    if ref is None:
                         continue
-                    place = pc.fill_null(pc.index_in(split.words, value_set=pa.array(common, pa.large_string())), len(common)).to_numpy(zero_copy_only=False)
-                    mine = rows[split.owner()]
-                    row = np.cumsum(rows) - 1
-                    k = len(common) + 1
-                    hist = np.bincount(row[split.owner()[mine]] * k + place[split.codes[mine]], minlength=rows.sum() * k).reshape(-1, k)
-                    # of an unknown language, the nearest one counts
-                    char_js[rows] = np.fmin(char_js[rows], distance(kinds[rows], chars))
-                    word_js[rows] = np.fmin(word_js[rows], distance(hist, shares))
-                char_js, word_js = np.nan_to_num(char_js), np.nan_to_num(word_js)
+                    alone &= ~rows
+                    chars, common, shares = ref
+                    values, k = pa.array(common, pa.large_string()), len(common) + 1
+                    codes = split.codes[expand(split.offsets[:-1][rows], n_words[rows])]
+                    distinct, which = (split.words, codes) if len(codes) > len(split.words) else (lambda u: (split.words.take(pa.array(u[0])), u[1]))(np.unique(codes, return_inverse=True))
+                    place = pc.fill_null(pc.index_in(distinct, value_set=values), len(common)).to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(rows.sum()), n_words[rows])
+                    hist = np.bincount(row * k + place[which], minlength=rows.sum() * k).reshape(-1, k)
+                    char_js[rows], word_js[rows] = distance(kinds[rows], chars), distance(hist, shares)
+                if alone.any() and all_chars:  # the nearest language counts, and its words do not
+                    char_js[alone] = np.min([distance(kinds[alone], chars) for chars in all_chars], axis=0)
                 failed = (n_words < FEWEST_WORDS) | (100 * repeats > MOST_REPEATED * n_words)
                 far = ((kinds.sum(axis=1) >= MIN_CHARS) & (char_js > CHAR_LIMIT)) | ((n_words >= MIN_WORDS) & (word_js > WORD_LIMIT))
                 symbols = pc.count_substring_regex(texts, r"[#*$%&|<>]")
@@ -247,7 +301,10 @@ def measure(docs: DataFrame, refs: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], names=["doc_id", *NAMES])
 
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in NAMES[:5]), *(T.StructField(c, T.BooleanType()) for c in NAMES[5:7]), *(T.StructField(c, T.DoubleType()) for c in NAMES[7:])])
-    return docs.mapInArrow(run, schema)
+    if refs.tail is None:
+        return docs.mapInArrow(run, schema)
+    direct = F.col("lang").isNull() | F.col("lang").isin(list(refs))
+    return docs.filter(direct).mapInArrow(run, schema).union(docs.filter(~direct).join(refs.tail, "lang", "left").select("doc_id", "lang", "text", "classes", "words", "counts", "n").mapInArrow(run, schema))
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
@@ -258,7 +315,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty: no words, so the base rules fail it. A row
     whose language is null or too rare for references of its own is held
-    against the nearest language; without any reference both distances are 0.
+    against the nearest language by its characters alone; without any reference
+    both distances are 0.
     Rows that repeat, or lack a doc_id, each give a row; other columns are not
     read; an empty table gives an empty table.
     """

@@ -130,6 +130,26 @@ def test_distances_and_common_words(spark):
     assert quality.distance(p, q)[1:] == pytest.approx([0, 0]) and 0 < quality.distance(p, q)[0] < 1
 
 
+def test_every_language_has_references(spark, monkeypatch):
+    rng = random.Random(8)
+    pools = {x: [f"{x}{w}" for w in [f"often{i}" for i in range(40)] * 15 + [f"word{i}" for i in range(400)]] for x in ("en", "de", "xx", "yy", "rare")}
+    text = lambda x: ". ".join(" ".join(rng.choice(pools[x]) for _ in range(10)).capitalize() for _ in range(12)) + "."
+    many = {"en": 3000, "de": 3000, "xx": 25, "yy": 24, "rare": 3}  # xx and yy: less than a 200th of the words
+    rows = [(i, x, text(x)) for i, x in enumerate(x for x, k in many.items() for _ in range(k))]
+    junk = [(9000, "xx", "#### $$$$ %%%% " * 40 + " ".join(map(str, range(60)))), (9001, "xx", text("en")), (9002, None, text("de"))]
+    frame = spark.createDataFrame(rows + junk, "doc_id long, lang string, text string").repartition(4)
+    refs = quality.references(frame)
+    assert set(refs) == {"en", "de", "xx", "yy"} and refs.tail is None
+    want = {r.doc_id: r for r in quality.measure(frame, refs).collect()}
+    assert len(want) == len(rows + junk) and all(want[i].kept for i, _, _ in rows)
+    assert not want[9000].kept and not want[9001].kept and want[9002].kept
+    assert all(want[i].word_distance == 0 and want[i].char_distance > 0 for i, x, _ in rows if x == "rare")
+    monkeypatch.setattr(quality, "HELD", 2)  # the others' references are joined
+    split = quality.references(frame)
+    assert set(split) == {"en", "de"} and {r.lang for r in split.tail.collect()} == {"xx", "yy"}
+    assert {r.doc_id: r for r in quality.measure(frame, split).collect()} == want
+
+
 def brute_scores(docs, counts, order, n):
     total, out = sum(c for g, c in counts.items() if len(g) == 1), {}
     for i, words in docs.items():
