@@ -7,9 +7,11 @@ probability is the product of its three factors over the largest product, and
 a hash of its doc_id decides. So the sample has the target shares in
 expectation, and the same documents are drawn at every cluster size.
 
-The cells are bounded: beyond the MOST heaviest values of a dimension, values
-are pooled under one name. So they fit in one row, where higher-order functions
-rake them, and their factors are broadcast.
+Every value of a dimension has its own cells and its own target. Where no
+dimension has more than about MOST values, the cells fit in one row, where
+higher-order functions rake them, and the probabilities are broadcast. Else the
+factors of each dimension are a table, and every step is a join of the cells
+with two of them and a grouped sum: the same numbers, for any number of cells.
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, new_path, remove
 
-#: Values of a dimension with a cell of their own; name of the pooled rest, and of null.
+#: Values of a dimension that are raked in one row, or stay unpooled in ``cells``; name of the pooled rest, and of null.
 MOST, REST, NULL = 64, "(rest)", "(null)"
 #: Targets, where none are given: observed shares to this power, scaled to 1. Rounds of raking.
 POWER, ROUNDS = 0.9, 25
@@ -47,14 +49,24 @@ def topic_of(text: Column) -> Column:
     )
 
 
+def all_cells(docs: DataFrame) -> DataFrame:
+    """source, lang, topic and w (tokens) of each cell that has tokens, from rows with these columns and n_tokens."""
+    return docs.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("w")).filter("w > 0")
+
+
 def cells(docs: DataFrame) -> DataFrame:
-    """source, lang, topic (pooled) and w (tokens) of each cell that has tokens, from rows with these columns and n_tokens."""
-    out = docs.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("w"))
+    """The same as a summary of bounded size: beyond the MOST heaviest values of a dimension, values are pooled. ``mix_sources`` does not pool."""
+    out = all_cells(docs)
     for d in DIMENSIONS:
         heavy = out.groupBy(d).agg(F.sum("w").alias("total")).orderBy(F.desc("total"), d).limit(MOST).select(F.col(d).alias("heavy"))
         out = out.join(F.broadcast(heavy), F.col(d) == F.col("heavy"), "left").withColumn(d, F.when(F.col("heavy").isNull(), REST).otherwise(F.col(d))).drop("heavy")
         out = out.groupBy(*DIMENSIONS).agg(F.sum("w").alias("w"))
-    return out.filter("w > 0")
+    return out
+
+
+def few(cell_rows: DataFrame) -> bool:
+    """Whether the cells fit in one row: no dimension has more values than ``cells`` leaves it."""
+    return max(cell_rows.agg(*[F.count_distinct(d) for d in DIMENSIONS]).first()) <= MOST + 1
 
 
 def factors(cell_rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
@@ -62,7 +74,43 @@ def factors(cell_rows: DataFrame, targets: dict[str, dict[str, float]] | None =
 
     ``targets``: for a dimension, {value: share}; values left out get share 0.
     """
-    targets = targets or {}
+    return (_in_one_row if few(cell_rows) else _by_joins)(cell_rows, targets or {}, power, rounds)
+
+
+def _by_joins(cell_rows: DataFrame, targets: dict[str, dict[str, float]], power: float, rounds: int) -> DataFrame:
+    """``factors`` for any number of cells: one small job for each step."""
+    spark, shares, found, paths = cell_rows.sparkSession, {}, {}, {}
+    for d in DIMENSIONS:
+        raw = F.pow(F.sum("w"), F.lit(power))
+        if d in targets:
+            given = F.create_map(*[F.lit(z) for v, s in targets[d].items() for z in (v, float(s))])
+            raw = F.coalesce(F.try_element_at(given, F.col(d)), F.lit(0.0))
+        each = cell_rows.groupBy(d).agg(raw.alias("raw"))
+        shares[d] = materialize(each.crossJoin(each.agg(F.sum("raw").alias("all"))).select(d, F.try_divide("raw", "all").alias("t")), f"shares-{d}")
+
+    def weighted(w: Column, dims) -> tuple[DataFrame, Column]:
+        rows = cell_rows
+        for d in dims:
+            if d in found:  # before the first step of a dimension its factors are 1
+                rows, w = rows.join(found[d], d), w * F.col(f"f_{d}")
+        return rows, w
+
+    for _ in range(rounds):
+        for d in DIMENSIONS:
+            rows, w = weighted(F.col("w"), [x for x in DIMENSIONS if x != d])
+            mass = rows.groupBy(d).agg(F.sum(w).alias("mass"))
+            path, old = new_path(spark, f"factors-{d}"), paths.get(d)
+            found[d] = materialize(shares[d].join(mass, d, "left").select(d, F.coalesce(F.try_divide("t", "mass"), F.lit(0.0)).alias(f"f_{d}")), f"factors-{d}", path)
+            paths[d] = path
+            if old:
+                remove(spark, old)
+    rows, p = weighted(F.lit(1.0), DIMENSIONS)
+    rows = rows.select(*DIMENSIONS, p.alias("p"))
+    return rows.crossJoin(F.broadcast(rows.agg(F.max("p").alias("most")))).select(*DIMENSIONS, F.round(F.try_divide("p", "most"), 9).alias("probability"))
+
+
+def _in_one_row(cell_rows: DataFrame, targets: dict[str, dict[str, float]], power: float, rounds: int) -> DataFrame:
+    """``factors`` for a bounded number of cells."""
     def values_of(d):
         return F.transform("cells", lambda c: c[d])
 
@@ -126,21 +174,17 @@ def mix_sources(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
     """
     kept = [c for c in docs.columns if c not in ("topic", "n_tokens", "probability")]
     tagged = _tagged(docs.select(*kept), topic)
-    counted = cells(tagged.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens")))
-    # Both are bounded tables; written, they are computed once.
-    table = materialize(factors(materialize(counted, "cells"), targets, power), "factors")
-    # Pooled values are found by their absence from the table, one dimension after the other.
-    for d in DIMENSIONS:
-        known = table.select(F.col(d).alias("_known")).distinct()
-        tagged = tagged.join(F.broadcast(known), F.col(f"_{d}") == F.col("_known"), "left").withColumn(f"_cell_{d}", F.when(F.col("_known").isNull(), REST).otherwise(F.col(f"_{d}"))).drop("_known")
-    table = table.select(*[F.col(d).alias(f"_at_{d}") for d in DIMENSIONS], "probability")
-    found = tagged.join(F.broadcast(table), [F.col(f"_cell_{d}") == F.col(f"_at_{d}") for d in DIMENSIONS], "left")
+    counted = all_cells(tagged.select(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens")))
+    # Written, both tables are computed once.
+    counted = materialize(counted, "cells")
+    table = materialize(factors(counted, targets, power), "factors").select(*[F.col(d).alias(f"_at_{d}") for d in DIMENSIONS], "probability")
+    found = tagged.join(F.broadcast(table) if few(counted) else table, [F.col(f"_{d}") == F.col(f"_at_{d}") for d in DIMENSIONS], "left")
     p = F.coalesce("probability", F.lit(1.0))
     return found.filter(draw(F.col("doc_id")) < p).select(*kept, F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), p.alias("probability"))
 
 
 def weights_sql(table: str = "documents", power: float = POWER, rounds: int = ROUNDS) -> str:
-    """The same sample as DuckDB SQL, for tables with at most MOST values in each dimension: doc_id, source, lang, topic, n_tokens, probability."""
+    """The same sample as DuckDB SQL: doc_id, source, lang, topic, n_tokens, probability."""
     text = "coalesce(text, '')"
     dims = [f"list_sort(list_distinct(list_transform(cells, lambda c: c.{d})))" for d in DIMENSIONS]
     index = ", ".join(f"i{k} := list_position(v{k}, c.{d})" for k, d in enumerate(DIMENSIONS))

@@ -250,6 +250,30 @@ def test_mixing_edges(spark, monkeypatch):
     assert mixing.mix_sources(frame).filter("probability > 0").count() > 0
 
 
+def test_mixing_beyond_one_row(spark):
+    rows = [(i, f"word {i} " * (i % 70 % 9 + 1) + "| " * (i % 2), ("en", "de", None)[i % 3], f"s{i % 70}" if i % 70 else None) for i in range(1400)]  # 70 sources
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.probability for r in mixing.mix_sources(frame).collect()}
+    con = duckdb.connect()
+    con.register("documents", frame.toArrow())
+    want = {i: p for i, p in con.sql(f"SELECT doc_id, probability FROM ({mixing.weights_sql()})").fetchall()}
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=2e-9)
+
+
+def test_each_source_has_its_target(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST", 3)
+    rng = random.Random(4)
+    cells = {(s, l, t): rng.randrange(1, 1000) for s in "abcdefgh" for l in "xy" for t in "pq"}
+    targets = {"source": dict(zip("abcdefg", [0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05])), "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.4, "q": 0.6}}
+    frame = spark.createDataFrame([(*k, w) for k, w in cells.items()], "source string, lang string, topic string, n_tokens long")
+    want = rake(cells, [t | {"h": 0.0} if k == 0 else t for k, t in enumerate(targets.values())], 3)
+    got = {(r.source, r.lang, r.topic): r.probability for r in mixing.factors(mixing.all_cells(frame), targets, rounds=3).collect()}
+    assert got == pytest.approx(want, abs=2e-9)
+    docs = spark.createDataFrame([(i, "a b c", *k) for i, k in enumerate([k for k in cells for _ in range(10)])], "doc_id long, text string, source string, lang string, t string")
+    kept = mixing.mix_sources(docs, targets, F.col("t"))
+    assert {r.source for r in kept.collect()} == set("abcdefg")
+
+
 def test_mixing_is_native(spark):
     frame = spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
     plan = mixing.mix_sources(frame)._jdf.queryExecution().executedPlan().toString()
