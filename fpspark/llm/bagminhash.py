@@ -13,12 +13,16 @@ which is what makes long texts cheap. All documents of a batch advance together
 in numpy; a process depends on the shingle, the interval and the seed alone.
 
 Signatures are banded; documents that share a band's bucket are candidates, and
-exact multiset overlap decides. Within a bucket the head (least id) is held
-against the others; what links is one class, and pairs within a class need no
-more work. Of the other pairs, each has an end outside the bucket's commonest
-class, so these documents lead in turn, some at first and many times as many in
-later rounds, until none is left. Weighted Jaccard distance is a metric: a pair whose distances to
-the head differ by more than the limit cannot link, and is not compared.
+exact multiset overlap decides. Buckets with the same members are one. Within a
+bucket the head (least id) is held against the others, a join of one row for
+each member. What links is a class. The pairs that are left differ in class, so
+each has an end outside the bucket's commonest class: those outside are cut
+into blocks, and a task holds one block against another, or against a block of
+the commonest class, and returns a spanning forest of the links it finds.
+Every candidate pair is so decided or known to lie in one class, no pair is a
+row of its own, and a class of any size costs rows in proportion to its members
+once its head has gathered them. Blocks travel with their texts: compressed,
+those are smaller than arrays of shingle hashes.
 """
 
 from __future__ import annotations
@@ -27,18 +31,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import materialize, prepare
 from .chunks import slices, strings, text_column
-from .components import components, rough_components
+from .components import components
+from .scratch import Scratch
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 4
-#: Documents of a bucket that lead in the first round after its head; rounds after it have as many times more.
-FIRST_LEADERS = 16
+BANDS, ROWS = 32, 5
+#: Documents, and shingles, of a block on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -211,49 +216,93 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, j double")
 
 
-def _linked(held: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """id and component of the documents that link within the buckets of ``held`` (bucket, rep, size)."""
-    limit = 1 - similarity
-
-    def bound(x, y):
-        """The most that multisets of such sizes can agree."""
-        return F.least(x, y) / F.greatest(x, y)
-
-    def decide(pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-        """a, b, j of all pairs decided so far; no pair twice."""
-        pairs = pairs.distinct()
-        found = materialize(_verified(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"), texts), "pairs")
-        return found if known is None else known.union(found)
-
-    head = held.groupBy("bucket").agg(F.min(F.struct("rep", "size")).alias("h")).select("bucket", F.col("h.rep").alias("head"), F.col("h.size").alias("head_size"))
-    met = held.join(head, "bucket").withColumn("bound", bound("size", "head_size"))
-    known = decide(met.filter((F.col("rep") > F.col("head")) & (F.col("bound") >= similarity)).select(F.col("head").alias("a"), F.col("rep").alias("b")), None)
-    # Each document's distance to its bucket's head: exact where decided, else from what the sizes allow to 1.
-    d = met.join(known.select(F.col("a").alias("head"), F.col("b").alias("rep"), "j"), ["head", "rep"], "left")
-    own = F.col("rep") == F.col("head")
-    rows = d.select("bucket", "rep", "size", F.when(own, 0.0).otherwise(1 - F.coalesce("j", "bound")).alias("near"), F.when(own, 0.0).otherwise(1 - F.coalesce("j", F.lit(0.0))).alias("far"), own.alias("done"))
-    rows, leaders = materialize(rows, "rows"), FIRST_LEADERS
-    while True:
-        links = known.filter(F.col("j") >= similarity).select("a", "b")
-        classes = rough_components(links)  # classes too small only mean more pairs to decide
-        labelled = rows.join(classes.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        # Undecided pairs differ in label. The bucket's commonest label needs no leaders: each such pair has an end outside.
-        counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = counts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("bucket", F.col("m.label").alias("main"))
-        open_rows = materialize(labelled.join(main, "bucket"), "open")
-        order = Window.partitionBy("bucket").orderBy("rep")
-        outside = open_rows.filter("label <> main and not done").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= leaders)
-        chosen = outside.select("bucket", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("label").alias("x_label"), F.col("near").alias("x_near"), F.col("far").alias("x_far"))
-        chosen = materialize(chosen, "leaders")
-        if chosen.isEmpty():
-            return components(links)
-        # The distance to the head differs by no more than the distance between the two.
-        possible = (F.col("label") != F.col("x_label")) & (bound("size", "x_size") >= similarity) & (F.col("near") - F.col("x_far") <= limit + 1e-9) & (F.col("x_near") - F.col("far") <= limit + 1e-9)
-        pairs = open_rows.join(chosen, "bucket").filter(possible).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-        known = decide(pairs, known)
-        used = chosen.select("bucket", F.col("x").alias("rep"), F.lit(True).alias("now"))
-        rows = materialize(open_rows.drop("label", "main").join(used, ["bucket", "rep"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now"), "rows")
-        leaders *= FIRST_LEADERS
+def _forest(similarity: float):
+    def link(rows: pa.Table) -> pa.Table:
+        """Two blocks of a bucket, or one with itself: for each text that links to one of another class, the least id its links reach here."""
+        rows = rows.combine_chunks()
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        block, rep, label = (rows[c].to_numpy() for c in ("block", "rep", "label"))
+        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+        left = np.flatnonzero(block == low)
+        right = left if low == high else np.flatnonzero(block == high)
+        if not len(left) or not len(right) or len(np.unique(label)) < 2:
+            return none
+        linked = similar(rows["text"].combine_chunks(), left, right, similarity) & (label[left][:, None] != label[right][None, :])
+        rank = np.argsort(np.argsort(rep, kind="stable"))
+        least = rank.copy()
+        while True:
+            before = least.copy()
+            for own, other, view in ((left, right, linked), (right, left, linked.T)):
+                far = np.where(view, least[other][None, :], len(rep)).min(axis=1)
+                least[own] = np.minimum(least[own], far)
+            if (least == before).all():
+                break
+        at = np.flatnonzero(least < rank)
+        return pa.table({"a": rep[at], "b": np.sort(rep)[least[at]]})
+
+    return link
+
+
+def similar(texts: pa.Array, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which texts of ``left`` have a weighted Jaccard similarity of ``similarity`` with which of ``right``, exactly."""
+    owner, h, c = shingles(text_column(texts))
+    n = len(texts)
+    size = np.bincount(owner, c, n)
+    # A shingle found w times is w elements, so that the overlap of multisets is that of sets.
+    with np.errstate(over="ignore"):
+        nth = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+        element = mix(np.repeat(h, c) + nth.astype(np.uint64) * _G)
+    owner = np.repeat(owner, c)
+    sides = []
+    for part in (left, right):
+        place = np.full(n, -1)
+        place[part] = np.arange(len(part))
+        use = place[owner] >= 0
+        sides.append((place[owner[use]], element[use]))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    codes = []
+    for row, e in sides:
+        at = np.minimum(np.searchsorted(both, e), max(len(both) - 1, 0))
+        hit = both[at] == e if len(both) else np.zeros(len(e), bool)
+        order = np.argsort(at[hit], kind="stable")
+        codes.append((row[hit][order], at[hit][order]))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, len(both), 4096):
+        parts = []
+        for (row, at), k in zip(codes, (len(left), len(right)), strict=True):
+            a, b = np.searchsorted(at, (begin, begin + 4096))
+            x = np.zeros((k, 4096), np.float32)
+            x[row[a:b], at[a:b] - begin] = 1
+            parts.append(x)
+        common += parts[0] @ parts[1].T
+    common = common.astype(np.float64)
+    total = size[left][:, None] + size[right][None, :]
+    return (common > 0) & (common / np.maximum(total - common, 1) >= similarity)
+
+
+def _linked(held: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """id and component of the documents that link within the buckets of ``held`` (bucket, rep, size, head, head_size)."""
+    bound = F.least("size", "head_size") / F.greatest("size", "head_size")  # the most that multisets of such sizes can agree
+    pairs = held.filter((F.col("rep") != F.col("head")) & (bound >= similarity)).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    links = scratch.keep(_verified(pairs, texts).filter(F.col("j") >= similarity).select("a", "b"), "links")
+    classes = components(links)
+    # What is left to decide: pairs of different classes, without the heads.
+    rest = held.filter(F.col("rep") != F.col("head")).join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("label"))
+    rest = scratch.keep(rest, "rest")
+    counts = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    wide = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+    of = counts.groupBy("bucket").agg(F.max(F.struct("n", "label", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
+    of = of.select("bucket", F.col("main.label").alias("main"), wide(F.col("main.n"), F.col("main.size")).alias("inner"), wide(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("outer"))
+    # Blocks of the commonest class are numbered from 0 up, those outside it from -1 down.
+    main, dealt = F.col("label") == F.col("main"), F.xxhash64("rep")
+    placed = rest.join(of, "bucket").withColumn("block", F.when(main, F.pmod(dealt, F.col("inner"))).otherwise(-1 - F.pmod(dealt, F.col("outer"))).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(-F.col("outer"), F.when(main, F.lit(-1)).otherwise(F.col("inner") - 1))))
+    tiles = placed.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "label")
+    met = tiles.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    found = scratch.keep(met.groupBy("bucket", "low", "high").applyInArrow(_forest(similarity), "a long, b long"), "found")
+    if found.isEmpty():
+        return classes
+    return components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -262,29 +311,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     Returns one row per distinct doc_id: doc_id, class_id (the least doc_id that
     links reach), kept (doc_id = class_id). Two documents link when the
     multisets of their five-word shingles have a weighted Jaccard similarity of
-    ``similarity`` or more. A text of one to four words is one shingle; null,
-    empty and blank texts link with nothing. Rows without a doc_id are left
-    out; of rows that repeat a doc_id the greatest text counts, null the least.
-    Other columns are not read; an empty table gives an empty table.
+    ``similarity`` or more, also where it ties with it. A text of one to four
+    words is one shingle; null, empty and blank texts link with nothing; texts
+    of any length are taken whole. Rows without a doc_id are left out; of rows
+    that repeat a doc_id the greatest text counts, null the least. Other
+    columns are not read; an empty table gives an empty table.
     """
     spark = prepare(docs.sparkSession)
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scratch = Scratch(spark)
+    if not texts.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        texts = scratch.keep(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+    # One representative for each multiset of shingles.
     features = materialize(_features(texts, bands, rows), "features")
-    # One row per doc_id; then one representative for each multiset of shingles.
-    features = features.groupBy("doc_id").agg(F.max(F.struct("size", "same1", "same2", "keys")).alias("f")).select("doc_id", "f.*")
     own = F.when(F.col("size") == 0, F.col("doc_id")).otherwise(0).alias("own")
     groups = features.groupBy("same1", "same2", "size", own).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
+    banded = scratch.keep(groups.filter("size > 0").select("rep", "size", F.explode("keys").alias("bucket")), "bands")
+    # Documents alone in a bucket meet nobody there; of buckets with the same members one is enough.
+    several = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rep", "size")).alias("h"), *[F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (1, 2)]).filter("n > 1")
+    buckets = several.groupBy("n", "h", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("h.rep").alias("head"), F.col("h.size").alias("head_size"))
+    held = scratch.keep(banded.join(buckets, "bucket"), "held")
+    classes = _linked(held, texts, similarity, scratch)
+    named = groups.drop("keys").join(classes, F.col("rep") == F.col("id"), "left").select("same1", "same2", "size", "own", F.coalesce("component", "rep").alias("class_id"))
     members = features.select("doc_id", "same1", "same2", "size", own)
-    banded = materialize(groups.filter("size > 0").select("rep", "size", F.explode("keys").alias("bucket")), "bands")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n"))
-    held = banded.join(sizes.filter("n > 1").select("bucket"), "bucket")  # documents alone in a bucket meet nobody there
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text")) if _repeats(features, docs) else texts
-    classes = _linked(materialize(held, "held"), texts, similarity)
-    named = groups.select("same1", "same2", "size", "own", "rep").join(classes, F.col("rep") == F.col("id"), "left").select("same1", "same2", "size", "own", F.coalesce("component", "rep").alias("class_id"))
     out = members.join(named, ["same1", "same2", "size", "own"])
+    scratch.drop()
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-
-
-def _repeats(features: DataFrame, docs: DataFrame) -> bool:
-    """Whether some doc_id stands in several rows."""
-    return features.count() < docs.filter("doc_id is not null").count()

@@ -18,15 +18,6 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def rough_components(edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """id and a smaller-or-equal id that it surely links to: what ``rounds`` rounds of stars give, without the wait for the last."""
-    current = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    for _ in range(rounds):
-        current = materialize(_star(current), "edges")
-    near = current.groupBy("a").agg(F.min("b").alias("component"))
-    return near.withColumnRenamed("a", "id").union(current.select(F.col("b").alias("id")).distinct().join(near.select(F.col("a").alias("id")), "id", "left_anti").select("id", F.col("id").alias("component")))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the least id reachable) of every node of ``edges`` (a, b: long).
 

@@ -60,9 +60,9 @@ def brute_classes(rows):
     return forest({i for i, _ in rows}, edges)
 
 
-@pytest.mark.parametrize("leaders", [16, 2])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, leaders):
-    monkeypatch.setattr(bagminhash, "FIRST_LEADERS", leaders)
+@pytest.mark.parametrize("block", [512, 2])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(bagminhash, "BLOCK", block)
     rows = list(enumerate(near_texts()))
     rows += [(500, None), (501, None)]
     frame = spark.createDataFrame([(i, t, i, True) for i, t in rows] + [(3, rows[3][1], 0, True), (None, "lost", 0, True)], "doc_id long, text string, rep long, kept boolean")
@@ -85,6 +85,39 @@ def test_one_crowded_bucket_with_chains(spark):
     assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame).collect()} == brute_classes(rows)
 
 
+def test_a_large_group_of_unlike_copies(spark, monkeypatch):
+    """Copies of one text with few to many words changed: most share buckets, some link, and no copy is like all others."""
+    monkeypatch.setattr(bagminhash, "BLOCK", 16)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        text = list(base)
+        for k in rng.sample(range(150), rng.randrange(0, 12)):
+            text[k] = f"e{rng.random()}"
+        rows.append((i, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = brute_classes(rows)
+    assert 1 < len(set(classes.values())) < len(rows)
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame).collect()} == classes
+
+
+def test_of_rows_that_repeat_a_doc_id_the_greatest_text_counts(spark):
+    w = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, w + " q"), (2, w), (2, "z z"), (3, w), (4, None), (4, w + " r"), (5, None), (5, None), (6, ""), (6, " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5, 6: 6}
+
+
+def test_blocks_hold_the_exact_overlap():
+    texts = near_texts()
+    left, right = np.arange(0, 40), np.arange(30, len(texts))
+    got = bagminhash.similar(pa.array(texts, pa.large_string()), left, right, 0.8)
+    sets = [multiset(t) for t in texts]
+    assert got.tolist() == [[bool(sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= 0.8) for b in right] for a in left]
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bagminhash.near_duplicates(empty).count() == 0
