@@ -184,7 +184,7 @@ def _features(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 owner, h, c = shingles(text_column(batch.column(1)))
                 n = batch.num_rows
                 with np.errstate(over="ignore"):
@@ -207,7 +207,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, "ta", 8 << 20):
+            for batch in slices(whole, "ta", 2 << 20):
                 j = overlap(text_column(batch.column(2)), text_column(batch.column(3)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], names=["a", "b", "j"])
 
