@@ -9,10 +9,14 @@ margin is set for a target recall: sample vectors are turned by the angle of
 the threshold in random directions, and the margin is the quantile of what the
 cheaper of the two ways between a vector and its neighbour costs.
 
-Within a cell (of one label) visitors and residents are compared exactly, in
-double precision. Large cells are cut into blocks, and a task gets one pair of
-blocks; of the links it finds it returns counts for each vector and a spanning
-forest, never the pairs. A pair that meets in two cells counts in the smaller.
+Vectors of each length have codebooks of their own. Lengths with few vectors,
+and those past the heaviest, have a single cell, where all are compared.
+
+Within a cell (of one label and length) visitors and residents are compared
+exactly, in double precision. Large cells are cut into blocks, and a task gets
+one pair of blocks; of the links it finds it returns counts for each vector and
+a spanning forest, never the pairs. A pair that meets in two cells counts in
+the smaller.
 """
 
 from __future__ import annotations
@@ -29,13 +33,18 @@ from pyspark.sql import types as T
 
 from ..runtime import materialize, prepare
 from .components import components
+from .scratch import Scratch
 
 #: Vectors of the bounded sample that codebooks and margin are fitted on: so many for each centroid, and this many at least.
 PER_CENTROID, SAMPLE = 16, 4096
 #: Vectors of the largest label in a cell, on average; centroids of a half at most; the recall that the margin is set for.
 PER_CELL, MOST, RECALL = 64, 1024, 0.995
-#: Rows of a block.
-BLOCK = 1024
+#: Lengths that have codebooks, at most: the heaviest. Others have one cell.
+LENGTHS = 32
+#: Rows, and bytes, of a block at most.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Rows of a block that are compared at a time.
+AT_ONCE = 512
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -91,34 +100,52 @@ def fit(sample: np.ndarray, k: int, threshold: float, recall: float = RECALL) ->
     return one, two, float(np.quantile(way, recall, method="higher")) + 1e-9
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; by the largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
+def _unit(column: pa.Array) -> np.ndarray:
+    return unit(pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
+def _visits(column: pa.Array, book: tuple | None) -> list[list[int]]:
+    """The cells of each vector, its own first."""
+    if book is None:
+        return [[0]] * len(column)
+    one, two, margin = book
+    x = _unit(column)
+    half = x.shape[1] // 2
+    d1, d2 = squared(x[:, :half], one), squared(x[:, half:], two)
+    return [[i * len(two) + j for i, j in multi_sequence(a, b, margin)] for a, b in zip(d1, d2, strict=True)]
+
+
 def _cells(reps: DataFrame, books) -> DataFrame:
     """For each vector a row per cell that it lives in or visits."""
 
     def run(batches):
-        one, two, margin = books.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _unit(batch.column(3))
-            half = x.shape[1] // 2
-            d1, d2 = squared(x[:, :half], one), squared(x[:, half:], two)
-            visits = [[i * len(two) + j for i, j in multi_sequence(a, b, margin)] for a, b in zip(d1, d2, strict=True)]
+            lengths = batch.column(4).to_numpy(zero_copy_only=False)
+            visits: list = [None] * batch.num_rows
+            for d in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == d)
+                for i, v in zip(at.tolist(), _visits(batch.column(3).take(pa.array(at)), books.value.get(d)), strict=True):
+                    visits[i] = v
             row = np.repeat(np.arange(len(visits)), [len(v) for v in visits])
             cell = np.array([c for v in visits for c in v], np.int64)
             home = np.array([v[0] for v in visits], np.int64)
             resident = cell == home[row]
-            mine = pa.array([v if r else [] for v, r in zip([visits[i] for i in row], resident, strict=True)], pa.list_(pa.int64()))
+            mine = pa.array([visits[i] if r else [] for i, r in zip(row.tolist(), resident.tolist(), strict=True)], pa.list_(pa.int64()))
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(cell), pa.array(home[row]), mine, batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at)], names=["label", "cell", "home", "visits", "rep", "copies", "embedding"])
+            label, node, copies, embedding, d = (batch.column(k).take(at) for k in range(5))
+            yield pa.RecordBatch.from_arrays([label, d, pa.array(cell), pa.array(home[row]), mine, node, copies, embedding], names=["label", "d", "cell", "home", "visits", "node", "copies", "embedding"])
 
     long = T.LongType()
-    fields = [reps.schema["label"], *(T.StructField(c, long) for c in ("cell", "home")), T.StructField("visits", T.ArrayType(long)), T.StructField("rep", long), T.StructField("copies", long), reps.schema["embedding"]]
-    return reps.select("label", "rep", "copies", "embedding").mapInArrow(run, T.StructType(fields))
+    fields = [reps.schema["label"], T.StructField("d", T.IntegerType()), *(T.StructField(c, long) for c in ("cell", "home")), T.StructField("visits", T.ArrayType(long)), T.StructField("node", long), T.StructField("copies", long), reps.schema["embedding"]]
+    return reps.select("label", "node", "copies", "embedding", "d").mapInArrow(run, T.StructType(fields))
 
 
 def _linker(threshold: float):
@@ -126,87 +153,104 @@ def _linker(threshold: float):
         """The links between two blocks of a cell, or within one: for each vector its linked copies and its least partner in the forest."""
         rows = rows.combine_chunks()
         x = _unit(rows["embedding"].combine_chunks())
-        rep, copies, home, cell = (rows[c].to_numpy() for c in ("rep", "copies", "home", "cell"))
-        block, low = rows["block"].to_numpy(), rows["low"].to_numpy()
+        node, copies, home, cell = (rows[c].to_numpy() for c in ("node", "copies", "home", "cell"))
+        block, low, high = rows["block"].to_numpy(), rows["low"][0].as_py(), rows["high"][0].as_py()
         resident = home == cell
         left = np.flatnonzero(block == low)
-        right = np.flatnonzero(block != low) if (block != low).any() else left
-        if len(rows) and rows["low"][0].as_py() != rows["high"][0].as_py() and right is left:
-            right = left[:0]
-        linked = x[left] @ x[right].T >= threshold
+        right = left if low == high else np.flatnonzero(block == high)
+        linked = np.zeros((len(left), len(right)), bool)
+        for a in range(0, len(left), AT_ONCE):
+            part = left[a : a + AT_ONCE]
+            linked[a : a + AT_ONCE] = x[part] @ x[right].T >= threshold
         if right is left:
             np.fill_diagonal(linked, False)
         linked &= resident[left][:, None] | resident[right][None, :]
         # a visitor and a resident that also visits the visitor's home meet twice: the smaller cell counts
-        visits = rows["visits"].to_pylist()
+        visits = rows["visits"]
         for own, other, flip in ((left, right, False), (right, left, True)):
             for a in np.flatnonzero(~resident[own] & (home[own] < cell[own])).tolist():
                 view = linked[:, a] if flip else linked[a]
                 h = int(home[own[a]])
                 for b in np.flatnonzero(view).tolist():
-                    if h in visits[other[b]]:
+                    if h in visits[int(other[b])].as_py():
                         view[b] = False
                         if right is left:
                             linked[b, a] = linked[a, b] = False
-        n = np.zeros(len(rep), np.int64)
-        np.add.at(n, left, linked @ copies[right])
-        least = np.arange(len(rep))
-        order = np.argsort(np.argsort(rep, kind="stable"))
-        least = order.copy()
-        if right is not left:
-            np.add.at(n, right, linked.T @ copies[left])
-        far = np.int64(len(rep) + 1)
+        n = np.zeros(len(node), np.int64)
+        least = np.argsort(np.argsort(node, kind="stable")).astype(np.int32)
+        for a in range(0, len(left), AT_ONCE):
+            part, view = left[a : a + AT_ONCE], linked[a : a + AT_ONCE]
+            n[part] += view @ copies[right]
+            if right is not left:
+                n[right] += view.T @ copies[part]
+        far = np.int32(len(node) + 1)
         while linked.size:
             before = least.copy()
-            least[left] = np.minimum(least[left], np.where(linked, least[right][None, :], far).min(axis=1, initial=far))
-            least[right] = np.minimum(least[right], np.where(linked, least[left][:, None], far).min(axis=0, initial=far))
+            for a in range(0, len(left), AT_ONCE):
+                part, view = left[a : a + AT_ONCE], linked[a : a + AT_ONCE]
+                least[part] = np.minimum(least[part], np.where(view, least[right][None, :], far).min(axis=1, initial=far))
+                least[right] = np.minimum(least[right], np.where(view, least[part][:, None], far).min(axis=0, initial=far))
             if (before == least).all():
                 break
-        by_rank = rep[np.argsort(rep, kind="stable")]
         use = n > 0
-        return pa.table({"rep": rep[use], "n": n[use], "partner": by_rank[least[use]]})
+        return pa.table({"node": node[use], "n": n[use], "partner": np.sort(node)[least[use]]})
 
     return link
 
 
+def _books(reps: DataFrame, threshold: float, recall: float) -> dict[int, tuple]:
+    """Codebooks and margin for each length that needs more than one cell, from bounded samples."""
+    largest = reps.groupBy("label", "d").count().groupBy("d").agg(F.max("count").alias("n"))
+    out = {}
+    for d, n in largest.filter("d > 1").orderBy(F.desc("n"), "d").limit(LENGTHS).collect():
+        k = max(1, min(MOST, round(math.sqrt(n / PER_CELL))))
+        if k > 1:
+            sample = reps.filter(F.col("d") == d).orderBy(F.xxhash64("embedding"), "node").select("embedding").limit(max(SAMPLE, PER_CENTROID * k)).collect()
+            out[d] = fit(unit(np.array([r.embedding for r in sample], np.float64)), k, threshold, recall)
+    return out
+
+
 def near_vectors(table: DataFrame, threshold: float = 0.98, recall: float = RECALL) -> DataFrame:
-    """Links between vectors of equal labels with a cosine of ``threshold`` or more.
+    """Links between vectors of equal labels and lengths with a cosine of ``threshold`` or more.
 
     ``table``: vec_id, embedding, label. Returns a row for every row of it:
     vec_id, n_links (other vectors linked directly), component_id (least vec_id
     that links reach, itself included), kept (vec_id = component_id). A vector
     that is null, empty, zero or holds nulls or values that are not finite, one
-    without a label, and one without a vec_id link with nothing; so do vectors
-    of another length than most. Equal vectors of a label are one while links
-    are sought, and count as many. Other columns are not read; an empty table
-    gives an empty table.
+    without a label, and one without a vec_id link with nothing. A cosine that
+    ties with the threshold links. Rows that agree in vec_id, label and vector
+    are one vector; other rows of one vec_id are vectors of their own, and do
+    not join the labels they stand under. Equal vectors of a label are one
+    while links are sought, and count as many. Vectors of any length are taken
+    whole; other columns are not read; an empty table gives an empty table.
     """
     spark = prepare(table.sparkSession)
+    scratch = Scratch(spark)
     table = table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 1) & finite & F.exists("embedding", lambda v: v != 0)
-    good = table.filter(valid)
-    by_size = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    nothing = (F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if by_size is None:
-        return table.select("vec_id", *nothing)
-    usable = valid & (F.size("embedding") == by_size.d)
-    good = table.filter(usable)
-    reps = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    largest = reps.groupBy("label").count().agg(F.max("count").alias("n")).first().n
-    k = max(1, min(MOST, round(math.sqrt(largest / PER_CELL))))
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").select("embedding").limit(max(SAMPLE, PER_CENTROID * k)).collect()
-    x = np.array([r.embedding for r in sample], np.float64)
-    books = spark.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True), k, threshold, recall))
-    cells = materialize(_cells(reps, books), "cells")
-    crowd = cells.groupBy("label", "cell").agg(F.count("*").alias("n"), F.count_if(F.col("home") == F.col("cell")).alias("residents")).filter("n > 1 and residents > 0")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = cells.join(crowd, ["label", "cell"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    valid = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
+    # Of a single component only the sign counts; 0.0 and -0.0 are equal.
+    plain = F.transform("embedding", lambda v: F.when(v == 0, F.abs(v)).otherwise(v))
+    plain = F.when(F.size("embedding") == 1, F.transform("embedding", lambda v: F.signum(v).cast(table.schema["embedding"].dataType.elementType))).otherwise(plain)
+    good = table.filter(valid).select("vec_id", "label", plain.alias("embedding"))
+    # Rows that repeat count once; then one node for each vector of a label.
+    ids = good.groupBy("label", "embedding", "vec_id").agg(F.lit(1).alias("one"))
+    reps = ids.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    reps = materialize(reps.select("label", "embedding", "rep", "copies", F.size("embedding").alias("d"), F.monotonically_increasing_id().alias("node")), "vectors")
+    books = spark.sparkContext.broadcast(_books(reps, threshold, recall))
+    cells = scratch.keep(_cells(reps, books), "cells")
+    crowd = cells.groupBy("label", "d", "cell").agg(F.count("*").alias("n"), F.count_if(F.col("home") == F.col("cell")).alias("residents")).filter("n > 1 and residents > 0")
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("d")))))
+    placed = cells.join(crowd, ["label", "d", "cell"]).withColumn("blocks", F.ceil(F.col("n") / rows).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiles = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
-    tiles = tiles.select("label", "cell", "low", "high", "block", "home", "visits", "rep", "copies", "embedding")
-    found = materialize(tiles.groupBy("label", "cell", "low", "high").applyInArrow(_linker(threshold), "rep long, n long, partner long"), "links")
-    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("partner").alias("b"))).select(F.col("id").alias("rep"), "component")
-    named = reps.join(links, "rep", "left").join(classes, "rep", "left").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    tiles = tiles.select("label", "d", "cell", "low", "high", "block", "home", "visits", "node", "copies", "embedding")
+    found = scratch.keep(tiles.groupBy("label", "d", "cell", "low", "high").applyInArrow(_linker(threshold), "node long, n long, partner long"), "links")
+    links = materialize(found.groupBy("node").agg(F.sum("n").alias("n")), "counts")
+    classes = components(found.select(F.col("node").alias("a"), F.col("partner").alias("b"))).select(F.col("id").alias("node"), "component")
+    least = classes.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = reps.join(links, "node", "left").join(classes.join(least, "component").select("node", "component_id"), "node", "left")
+    named = named.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     out = good.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return out.union(table.filter(~F.coalesce(usable, F.lit(False))).select("vec_id", *nothing))
+    nothing = (F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    scratch.drop()
+    return out.union(table.filter(~valid).select("vec_id", *nothing))
