@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import bagminhash, bpe_stream, dac, line_dedup, lm_scores, mixing, multi_index, quality, token_counts, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: The targets of the mixing query: equal shares for languages, square roots of the observed ones for sources, topics a little evened out; half of all tokens.
+MIX_POWERS, MIX_BUDGET = {"source": 0.5, "lang": 0.0, "topic": 0.8}, 0.5
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -23,9 +25,9 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The drawn documents with their cell; null sources and languages by name."""
-    drawn = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return drawn.select("doc_id", *(F.coalesce(c, F.lit(mixing.NULL)).alias(c) for c in ("source", "lang")), "topic", "n_tokens", "probability")
+    """The drawn documents with their cell, and how often each stands in the sample; null sources and languages by name."""
+    drawn = mixing.mix_sources(table(spark, sf_dir, "documents"), power=MIX_POWERS, budget=MIX_BUDGET)
+    return drawn.select("doc_id", *(F.coalesce(c, F.lit(mixing.NULL)).alias(c) for c in ("source", "lang")), "topic", "n_tokens", "expected", "copies")
 
 
 def op3_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op2_mixing": mixing.weights_sql(),
+    "op2_mixing": mixing.weights_sql(power=MIX_POWERS, budget=MIX_BUDGET),
     "op7_lm_scores": """
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS words FROM documents),
 one AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -7,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from fpspark.llm import entry, lm_scores, mixing, quality, toxicity
@@ -212,7 +214,7 @@ def test_general_and_split_scores_agree(spark):
     assert a == pytest.approx(b)
 
 
-def rake(cells, targets, rounds=25):
+def rake(cells, targets, rounds=30):
     f = [{v: 1.0 for v in t} for t in targets]
     for _ in range(rounds):
         for k in range(3):
@@ -224,54 +226,75 @@ def rake(cells, targets, rounds=25):
     return {key: x / max(p.values()) for key, x in p.items()}
 
 
-def test_raking_meets_targets(spark):
+@pytest.mark.parametrize("few", [4096, 0])
+def test_raking_meets_targets(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
     rng = random.Random(3)
     cells = {(s, l, t): float(rng.randrange(1, 1000)) for s in "abcd" for l in "xy" for t in ("p", "q", "r") if rng.random() < 0.9}
     frame = spark.createDataFrame([(*k, w) for k, w in cells.items()], "source string, lang string, topic string, w double")
     targets = {"source": {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.2, "q": 0.3, "r": 0.5}}
-    got = {(r.source, r.lang, r.topic): r.probability for r in mixing.factors(frame, targets).collect()}
+    found = mixing.factors(frame, targets)
+    got = {(r.source, r.lang, r.topic): r.expected for r in found.collect()}
     assert got == pytest.approx(rake(cells, list(targets.values())), abs=1e-8)
-    kept = {k: cells[k] * p for k, p in got.items()}
-    for k, d in enumerate(mixing.DIMENSIONS):
-        for v, share in targets[d].items():
-            assert sum(w for key, w in kept.items() if key[k] == v) / sum(kept.values()) == pytest.approx(share, abs=1e-4)
-
-
-def test_mixing_edges(spark, monkeypatch):
-    rows = [(i, f"word {i} " * (i % 5 + 1), "en" if i % 3 else None, f"s{i % 7}", "x") for i in range(300)] + [(300, None, "en", None, "x"), (301, "", None, "s1", "x"), (None, "no id", "en", "s1", "x"), (5, "again", "en", "s5", "x")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, probability string")
-    out = mixing.mix_sources(frame)
-    assert out.columns == ["doc_id", "text", "lang", "source", "topic", "n_tokens", "probability"]
-    assert 0 < out.count() <= len(rows)
+    reached = mixing.shares(frame, found, targets).collect()
+    assert {(r.dimension, r.value): r.target for r in reached} == pytest.approx({(d, v): x for d, t in targets.items() for v, x in t.items()})
+    assert all(r.reached == pytest.approx(r.target, abs=1e-6) for r in reached) and sum(r.observed for r in reached) == pytest.approx(3)
+    doubled = {(r.source, r.lang, r.topic): r.expected for r in mixing.factors(frame, targets, budget=2.0).collect()}
+    assert sum(cells[k] * e for k, e in doubled.items()) == pytest.approx(2 * sum(cells.values()), rel=1e-6) and max(doubled.values()) > 1
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.factors(frame, {"source": {"a": 0.5, "nowhere": 0.5}})
+
+
+def test_mixing_edges(spark):
+    rows = [(i, f"word {i} " * (i % 5 + 1), "en" if i % 3 else None, f"s{i % 7}", "x", i, "r", 1) for i in range(300)]
+    rows += [(300, None, "en", None, "x", 0, "", 1), (301, "", None, "s1", "x", 0, "", 1), (None, "no id", "en", "s1", "x", 0, "", 1), (5, rows[5][1], "de", "s5", "x", 0, "", 1), (5, rows[5][1], "de", "s5", "x", 0, "", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, expected string, _source int, row string, Topic int")
+    got = mixing.mix_sources(frame, power=0.2, budget=0.8)
+    assert got.columns == ["doc_id", "text", "lang", "source", "_source", "row", "topic", "n_tokens", "expected", "copies"]
+    out = got.collect()
+    given = Counter((r[0], r[1], r[2], r[3], r[5], r[6]) for r in rows)
+    assert not Counter((r.doc_id, r.text, r.lang, r.source, r._source, r.row) for r in out) - given
+    assert sum(r.doc_id == 5 and r.lang == "de" for r in out) in (0, 2)  # rows that repeat go or stay together
+    assert 300 in {r.doc_id for r in out if r.copies == 1 and r.expected == 1.0}  # its cell has no tokens
+    for r in out:
+        u = int(hashlib.md5(str(r.doc_id if r.doc_id is not None else "").encode()).hexdigest()[:12], 16) / (1 << 48)
+        assert r.copies == math.floor(r.expected) + (u < r.expected - math.floor(r.expected)) > 0
+        assert r.n_tokens == len(regex.findall(mixing.TOKEN, r.text or ""))
     assert mixing.mix_sources(frame.limit(0)).count() == 0
-    monkeypatch.setattr(mixing, "MOST", 3)  # the other four sources are pooled
-    table = mixing.factors(mixing.cells(frame.select("source", F.coalesce("lang", F.lit(mixing.NULL)).alias("lang"), F.lit("t").alias("topic"), mixing.n_tokens(F.col("text")).alias("n_tokens"))))
-    assert table.select("source").distinct().count() == 4
-    assert mixing.mix_sources(frame).filter("probability > 0").count() > 0
 
 
-def test_mixing_beyond_one_row(spark):
+def test_long_texts_count_whole(spark):
+    frame = spark.createDataFrame([(1, "word, " * 200_000, "en", "a"), (2, "é1 " * 10, "en", "a")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.n_tokens for r in mixing.mix_sources(frame, power=1.0).collect()}
+    assert got == {1: 400_000, 2: 20}
+
+
+@pytest.mark.parametrize("few", [4096, 50])
+@pytest.mark.parametrize("sources", [100, 1000])
+def test_no_source_is_lost(spark, monkeypatch, sources, few):
+    """Equal sources with equal targets: every row stays, in one row of cells and by joins."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    rows = [(i, "a b c", "en", f"s{i % sources}") for i in range(2 * sources)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = mixing.mix_sources(frame, {"source": {f"s{k}": 1 / sources for k in range(sources)}})
+    assert kept.count() == len(rows)
+
+
+def test_mixing_by_joins_equals_sql(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW", 0)
     rows = [(i, f"word {i} " * (i % 70 % 9 + 1) + "| " * (i % 2), ("en", "de", None)[i % 3], f"s{i % 70}" if i % 70 else None) for i in range(1400)]  # 70 sources
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r.probability for r in mixing.mix_sources(frame).collect()}
+    got = {r.doc_id: r.expected for r in mixing.mix_sources(frame, power=0.5).collect()}
     con = duckdb.connect()
     con.register("documents", frame.toArrow())
-    want = {i: p for i, p in con.sql(f"SELECT doc_id, probability FROM ({mixing.weights_sql()})").fetchall()}
+    want = {i: p for i, p in con.sql(f"SELECT doc_id, expected FROM ({mixing.weights_sql(power=0.5)})").fetchall()}
     assert got.keys() == want.keys() and got == pytest.approx(want, abs=2e-9)
 
 
-def test_each_source_has_its_target(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MOST", 3)
-    rng = random.Random(4)
-    cells = {(s, l, t): rng.randrange(1, 1000) for s in "abcdefgh" for l in "xy" for t in "pq"}
-    targets = {"source": dict(zip("abcdefg", [0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.05])), "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.4, "q": 0.6}}
-    frame = spark.createDataFrame([(*k, w) for k, w in cells.items()], "source string, lang string, topic string, n_tokens long")
-    want = rake(cells, [t | {"h": 0.0} if k == 0 else t for k, t in enumerate(targets.values())], 3)
-    got = {(r.source, r.lang, r.topic): r.probability for r in mixing.factors(mixing.all_cells(frame), targets, rounds=3).collect()}
-    assert got == pytest.approx(want, abs=2e-9)
-    docs = spark.createDataFrame([(i, "a b c", *k) for i, k in enumerate([k for k in cells for _ in range(10)])], "doc_id long, text string, source string, lang string, t string")
-    kept = mixing.mix_sources(docs, targets, F.col("t"))
-    assert {r.source for r in kept.collect()} == set("abcdefg")
+def test_tokens_and_topics_can_be_given(spark):
+    docs = spark.createDataFrame([(i, "a b c", "en", f"s{i % 4}", f"t{i % 3}", i % 5) for i in range(120)], "doc_id long, text string, lang string, source string, t string, n int")
+    kept = mixing.mix_sources(docs, topic=F.col("t"), tokens=F.col("n"), power=1.0).collect()
+    assert len(kept) == 120 and all(r.topic == r.t and r.n_tokens == r.n for r in kept)
 
 
 def test_mixing_is_native(spark):
