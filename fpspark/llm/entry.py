@@ -49,8 +49,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, and the score to four decimals."""
-    return lm_scores.score_corpus(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+    """doc_id, n_words, the score to four decimals, and how many words backed off or are in no other document."""
+    return lm_scores.score_corpus(table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), "n_backed_off", "n_unseen")
 
 
 def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +82,28 @@ ORACLE_SQL: dict[str, str] = {
     "op7_lm_scores": """
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS words FROM documents),
 one AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
-g AS (SELECT doc_id, words[i] AS word, CASE WHEN i > 1 THEN words[i - 1] END AS prior FROM one),
-c1 AS (SELECT word, count(*) AS c FROM g GROUP BY ALL),
-c2 AS (SELECT prior, word, count(*) AS c FROM g WHERE prior IS NOT NULL GROUP BY ALL),
+g AS (
+  SELECT doc_id, i, words[i] AS g1, CASE WHEN i > 1 THEN words[i - 1] || ' ' || words[i] END AS g2,
+    CASE WHEN i > 2 THEN words[i - 2] || ' ' || words[i - 1] || ' ' || words[i] END AS g3 FROM one),
+c1 AS (SELECT g1, count(*) AS c FROM g GROUP BY ALL),
+c2 AS (SELECT g2, count(*) AS c FROM g WHERE g2 IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT g3, count(*) AS c FROM g WHERE g3 IS NOT NULL GROUP BY ALL),
+d1 AS (SELECT doc_id, g1, count(*) AS c FROM g GROUP BY ALL),
+d2 AS (SELECT doc_id, g2, count(*) AS c FROM g WHERE g2 IS NOT NULL GROUP BY ALL),
+d3 AS (SELECT doc_id, g3, count(*) AS c FROM g WHERE g3 IS NOT NULL GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM g),
-scored AS (SELECT g.doc_id, CASE WHEN g.prior IS NULL THEN ln(a.c::DOUBLE / (SELECT n FROM n)) ELSE ln(c2.c::DOUBLE / b.c) END AS s
-  FROM g JOIN c1 a ON g.word = a.word LEFT JOIN c1 b ON g.prior = b.word LEFT JOIN c2 ON g.prior = c2.prior AND g.word = c2.word)
-SELECT w.doc_id, count(s) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score FROM w LEFT JOIN scored ON w.doc_id = scored.doc_id GROUP BY w.doc_id
+own AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+k AS (
+  SELECT g.doc_id, g.i, c1.c - d1.c AS k1, coalesce(c2.c - d2.c, 0) AS k2, coalesce(c3.c - d3.c, 0) AS k3, greatest((SELECT n FROM n) - own.n, 1) AS total
+  FROM g JOIN c1 ON g.g1 = c1.g1 JOIN d1 ON g.doc_id = d1.doc_id AND g.g1 = d1.g1 JOIN own ON g.doc_id = own.doc_id
+  LEFT JOIN c2 ON g.g2 = c2.g2 LEFT JOIN d2 ON g.doc_id = d2.doc_id AND g.g2 = d2.g2
+  LEFT JOIN c3 ON g.g3 = c3.g3 LEFT JOIN d3 ON g.doc_id = d3.doc_id AND g.g3 = d3.g3),
+h AS (SELECT *, lag(k1) OVER (PARTITION BY doc_id ORDER BY i) AS h1, lag(k2) OVER (PARTITION BY doc_id ORDER BY i) AS h2 FROM k),
+scored AS (
+  SELECT doc_id, CASE WHEN k3 > 0 THEN ln(k3::DOUBLE / h2) ELSE CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+      + CASE WHEN k2 > 0 THEN ln(k2::DOUBLE / h1) ELSE CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END + ln(CASE WHEN k1 > 0 THEN k1 ELSE 0.5 END::DOUBLE / total) END END AS s,
+    CASE WHEN (i > 2 AND k3 = 0) OR (i = 2 AND k2 = 0) THEN 1 ELSE 0 END AS fell, CASE WHEN k1 = 0 THEN 1 ELSE 0 END AS unseen FROM h)
+SELECT w.doc_id, count(s) AS n_words, round(coalesce(sum(s), 0), 4) AS log_score, coalesce(sum(fell), 0)::BIGINT AS n_backed_off, coalesce(sum(unseen), 0)::BIGINT AS n_unseen
+FROM w LEFT JOIN scored ON w.doc_id = scored.doc_id GROUP BY w.doc_id
 """,
 }

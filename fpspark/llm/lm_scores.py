@@ -1,48 +1,48 @@
-"""Stupid-backoff scores of documents from n-gram counts of the whole corpus.
+"""Stupid-backoff scores of documents from n-gram counts of the corpus.
 
 S(w | h) = c(h w) / c(h) if c(h w) > 0, else BACKOFF * S(w | h'), with h' the
-history without its first word, and S(w) = c(w) / N at the end. A document's
-score is the sum of ln S over its words; its first words have shorter histories.
+history without its first word, and S(w) = c(w) / N at the end; a word that was
+never seen counts half a time. A document's score is the sum of ln S over its
+words; its first words have shorter histories.
 
 ``score_against`` is the general operator: n-grams exploded to rows, count
 tables keyed and partitioned by the n-gram's hash, one left join for each
 order, a sum per document. It scores any documents against any counts.
 
-``score_corpus`` scores a corpus against its own counts, two words at a time.
-There every n-gram of a document is in the tables, so no word backs off, and a
-score is a plain sum over n-grams of coefficient times ln c: each word adds
-its pair's count and takes away its history's. That splits by n-gram, so each
-hash bucket counts its n-grams, joins the counts to the documents that hold
-them, and sums what it adds to each. N-grams travel as packed arrays, a row
-for each slice of input and bucket. Frequent words, which every document holds,
-are not sent at all: their counts (of words that a bounded sample names, at
-most FREQUENT, counted over all documents) are broadcast.
+``score_corpus`` scores each document of a corpus by the counts of all others,
+so that n-grams of its own alone are not known and back off. It is the same
+join with rows packed: a slice of the documents explodes into its distinct
+n-grams of all orders, keyed by hash and dealt out by ranges of the hash as
+sorted, delta-coded arrays. A range counts its n-grams over all slices and
+answers each slice with the counts that the other slices add, in the slice's own
+order. The slice then knows the count of each of its n-grams, takes away each
+document's own, backs off and sums. Slices and ranges have a size of their own,
+so their numbers grow with the corpus. Keys have 56 bits: of n distinct
+n-grams a share of n / 2**56 falls together with another (1e-4 at 1e13).
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..runtime import prepare
+from ..runtime import new_path, prepare
 from .bagminhash import mix
 from .chunks import slices, strings, text_column
 from .quality import Split
 
-BACKOFF = 0.4
-#: Words whose counts are broadcast, and the documents and characters of each that name them.
-FREQUENT, SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 2000, 4096
-#: Buckets for each shuffle partition.
-BUCKETS = 4
-NO_ID = -(1 << 63)  # stands for a null doc_id
+BACKOFF, ORDER = 0.4, 3
+#: Bytes of text of a slice, and of those that a range of hashes counts for.
+SLICE_BYTES, RANGE_BYTES = 6 << 20, 4 << 20
+KEY_BITS = 56
+SLICES = "slice long, ids array<long>, n_bytes long, n_words long, ends array<long>, data binary"
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,132 +91,137 @@ def score_against(docs: DataFrame, counts: DataFrame, order: int = 2, backoff: f
     return joined.select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
 
 
-def _hashes(words: pa.Array) -> np.ndarray:
-    return pd.util.hash_array(np.array(strings(words), object), categorize=False) if len(words) else np.zeros(0, np.uint64)
-
-
-def _pairs(h: np.ndarray) -> np.ndarray:
-    """The key of each two neighbours."""
-    with np.errstate(over="ignore"):
-        return mix(h[:-1] * _G + h[1:] + np.uint64(2))
-
+def coded(values: np.ndarray) -> bytes:
+    """64-bit numbers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def decoded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+class Grams:
+    """The n-grams of a slice: for each order and word the place of the n-gram that ends there, among the sorted distinct keys."""
+
+    def __init__(self, texts: pa.Array, order: int):
+        split = Split.of(texts)
+        n_words = np.diff(split.offsets)
+        self.order, self.n_words, self.owner = order, n_words, split.owner()
+        self.at = np.arange(len(split.codes)) - np.repeat(split.offsets[:-1], n_words)  # the word's place in its text
+        words = pd.util.hash_array(np.array(strings(split.words), object), categorize=False)[split.codes] if len(split.codes) else np.zeros(0, np.uint64)
+        grams, parts = words, []
+        with np.errstate(over="ignore"):
+            for k in range(order):
+                if k:
+                    longer = np.zeros(len(words), np.uint64)
+                    longer[k:] = mix(grams[k - 1 : -1] * _G + words[k:] + np.uint64(k))
+                    grams = longer
+                parts.append(mix(grams + np.uint64(k))[self.at >= k] >> np.uint64(64 - KEY_BITS))
+        self.keys, places, self.counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        self.places, begin = [], 0
+        for k, part in enumerate(parts):
+            place = np.full(len(words), -1)
+            place[self.at >= k] = places[begin : begin + len(part)]
+            self.places.append(place)
+            begin += len(part)
+
+    def score(self, others: np.ndarray, total: int, backoff: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ln S of each word, how often it backed off, and whether no other text has it. ``others``: counts outside the slice; ``total``: words of the corpus."""
+        everywhere = others + self.counts
+        known = []  # counts of each order outside the word's own text
+        for k in range(self.order):
+            there = np.flatnonzero(self.at >= k)
+            pair = self.owner[there] * np.int64(len(self.keys) + 1) + self.places[k][there]
+            _, which, own = np.unique(pair, return_inverse=True, return_counts=True)
+            count = np.zeros(len(self.at), np.int64)
+            count[there] = everywhere[self.places[k][there]] - own[which]
+            known.append(count)
+        all_words = np.maximum(total - self.n_words[self.owner], 1)
+        s = np.log(np.where(known[0] > 0, known[0], 0.5) / all_words)
+        falls = np.zeros(len(s), np.int64)
+        for k in range(1, self.order):
+            hit = known[k] > 0
+            before = np.ones(len(s))
+            before[1:] = np.maximum(known[k - 1][:-1], 1)  # the history is the n-gram that ends one word before
+            tried = self.at >= k
+            s = np.where(hit, np.log(np.maximum(known[k], 1) / before), s + tried * math.log(backoff))
+            falls = np.where(hit, 0, falls + tried)
+        return s, falls, known[0] <= 0
+
+
+def _sliced(docs: DataFrame) -> DataFrame:
+    """A row per slice: its number, doc_ids, bytes of its texts, words, ends of the texts and the texts, compressed."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for batch in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
+            number += 1
+            texts = text_column(batch.column(1))
+            data = [t.encode("utf-8", "surrogatepass") for t in strings(texts)]
+            ends = np.cumsum([len(x) for x in data])
+            words = int(np.diff(Split.of(texts).offsets).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([int(ends[-1])], pa.int64()), pa.array([words], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(data), 9)], pa.binary())], names=["slice", "ids", "n_bytes", "n_words", "ends", "data"])
 
-def frequent_words(docs: DataFrame) -> tuple[list[str], np.ndarray, int]:
-    """The words that a bounded sample names, their counts over all documents, and the number of all words."""
-    texts = docs.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).filter("text is not null").limit(SAMPLE_DOCS).collect()
-    seen = Counter(w for r in texts for w in r.text.split(" ") if w and not any(c in w for c in "\t\n\x0b\x0c\r"))
-    words = sorted(w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT])
+    return docs.mapInArrow(run, SLICES)
 
-    def counted(batches):
-        values = pa.array(words, pa.large_string())
-        sums, total = np.zeros(len(words) + 1, np.int64), 0
-        for whole in batches:
-            for batch in slices(whole):
-                flat = pc.split_pattern(pc.replace_substring_regex(text_column(batch.column(0)), "[\t-\r]", " "), " ").flatten()
-                total += pc.sum(pc.not_equal(flat, "")).as_py() or 0
-                sums += np.bincount(pc.fill_null(pc.index_in(flat, value_set=values), len(words)).to_numpy(zero_copy_only=False), minlength=len(words) + 1)
-        at = np.flatnonzero(sums[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *sums[at].tolist()], pa.int64())], names=["word", "n"])
 
-    rows = docs.select("text").mapInArrow(counted, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    by = {r.word: r.n for r in rows}
-    return words, np.array([max(1, by.get(i, 1)) for i in range(len(words))], float), by.get(-1, 0)
+def _texts(ends: list[int], data: bytes) -> pa.Array:
+    places = np.concatenate(([0], np.array(ends, np.int64)))
+    return pa.Array.from_buffers(pa.large_string(), len(ends), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(zstandard.decompress(data) if len(data) else b"")])
 
 
-def score_corpus(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_score of every row of ``docs`` (doc_id, text) against the counts of all of them.
+def score_corpus(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+    """doc_id, n_words, log_score, n_backed_off, n_unseen of every row of ``docs`` (doc_id, text), by the counts of all other rows.
 
-    A null, empty or blank text has 0 words and score 0. Rows that share a
-    doc_id are scored each on its own and summed; rows without a doc_id are
-    counted, and come out as one row with a null doc_id. Other columns are not
-    read; an empty table gives an empty table.
+    n_backed_off: words that fell back to a shorter n-gram; n_unseen: words
+    that no other row has. A null, empty or blank text has 0 words and score 0;
+    texts of any length are taken whole, and equal texts know each other. Rows
+    that share a doc_id are documents of their own, and are summed; so are rows
+    without one. Sums tie where texts do. Other columns are not read; an empty
+    table gives an empty table.
     """
     spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words, counts, total = frequent_words(docs)
-    known = spark.sparkContext.broadcast((words, np.log(counts), np.log(max(total, 1))))
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, "slices")
+    _sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).write.option("compression", "none").parquet(path)
+    table = spark.read.schema(SLICES).parquet(path)
+    size = table.agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words")).first()
+    ranges, total = max(1, math.ceil((size.n_bytes or 0) / RANGE_BYTES)), size.n_words or 0
+    bounds = np.array([(k << KEY_BITS) // ranges for k in range(1, ranges)], np.uint64)
 
     def pack(batches):
-        frequent, log_counts, log_total = known.value
-        values = pa.array(frequent, pa.large_string())
-        number = TaskContext.get().partitionId() << 32  # of the slice; the same when a task runs again
-        for batch in (part for whole in batches for part in slices(whole)):
-            number += 1
-            split = Split.of(text_column(batch.column(1)))
-            n, owner, codes = batch.num_rows, split.owner(), split.codes
-            first = np.zeros(len(codes), bool)
-            first[split.offsets[:-1][np.diff(split.offsets) > 0]] = True
-            follows = np.append(~first[1:], False) if len(codes) else first  # the next word is of the same text
-            place = pc.fill_null(pc.index_in(split.words, value_set=values), -1).to_numpy(zero_copy_only=False)
-            h = _hashes(split.words)
-            # frequent words count here and now
-            sign = first.astype(np.int64) - follows
-            mine = place[codes] >= 0
-            own = np.bincount(owner[mine], sign[mine] * log_counts[place[codes[mine]]], n) - np.bincount(owner[first], minlength=n) * log_total
-            ids = pc.fill_null(batch.column(0), NO_ID)
-            yield _row(number, [-1], [0, 0], [], [], [], [], [ids.to_numpy(zero_copy_only=False), np.diff(split.offsets), own])
-            # the other words, once for each text
-            size = np.int64(len(h) + 1)
-            key, at, n_occ = np.unique(owner[~mine] * size + codes[~mine], return_inverse=True, return_counts=True)
-            coef = np.bincount(at, sign[~mine], len(key)).astype(np.int32)
-            # and pairs
-            hw = h[codes]
-            pair, of = (_pairs(hw)[follows[:-1]], owner[:-1][follows[:-1]]) if len(hw) > 1 else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            with np.errstate(over="ignore"):
-                order = np.argsort(mix(pair ^ (of.astype(np.uint64) * _G)), kind="stable")
-            pair, of = pair[order], of[order]
-            new = np.ones(len(pair), bool)
-            new[1:] = (pair[1:] != pair[:-1]) | (of[1:] != of[:-1])
-            runs = np.diff(np.append(np.flatnonzero(new), len(pair))).astype(np.int32)
-            keys = np.concatenate([h[key % size], pair[new]])
-            texts = np.concatenate([key // size, of[new]]).astype(np.int32)
-            ns, coefs = np.concatenate([n_occ.astype(np.int32), runs]), np.concatenate([coef, runs])
-            bucket = (mix(keys) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            keys, texts, ns, coefs, bucket = (x[order] for x in (keys, texts, ns, coefs, bucket))
-            there, at = np.unique(bucket, return_index=True)
-            yield _row(number, there, np.append(at, len(keys)), keys.view(np.int64), texts, ns, coefs, None)
+        for batch in batches:
+            for number, ends, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                grams = Grams(_texts(ends, data), order)
+                places = np.concatenate(([0], np.searchsorted(grams.keys, bounds), [len(grams.keys)]))
+                used = np.flatnonzero(np.diff(places)).tolist()
+                keys = [coded(np.diff(grams.keys[places[r] : places[r + 1]], prepend=np.uint64(0))) for r in used]
+                counts = [coded(grams.counts[places[r] : places[r + 1]]) for r in used]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(used), pa.int64()), pa.array(used, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["slice", "range", "keys", "counts"])
 
     def join(rows: pa.Table) -> pa.Table:
-        """One bucket: count its n-grams, and add up for each slice what they are worth to each of its texts."""
-        if rows["bucket"][0].as_py() < 0:
-            return rows.select(["slice", "ids", "n_words", "own"]).rename_columns(["slice", "ids", "n_words", "part"]).cast(PARTS)
-        gram = np.unique(pc.list_flatten(rows["keys"]).to_numpy(), return_inverse=True)[1]
-        value = pc.list_flatten(rows["coefs"]).to_numpy() * np.log(np.maximum(np.bincount(gram, pc.list_flatten(rows["ns"]).to_numpy()), 1))[gram]
-        texts = pc.list_flatten(rows["texts"]).to_numpy()
-        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(rows["keys"]).to_numpy())))
-        parts = [np.bincount(texts[a:b], value[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"slice": rows["slice"], "ids": pa.nulls(len(parts), pa.list_(pa.int64())), "n_words": pa.nulls(len(parts), pa.list_(pa.int64())), "part": pa.array(parts, pa.list_(pa.float64()))}).cast(PARTS)
-
-    def total_up(rows: pa.Table) -> pa.Table:
-        """One slice: the sum of its parts."""
-        at = rows["ids"].is_valid().to_pylist().index(True)
-        out = np.zeros(len(rows["ids"][at]))
-        for part in rows["part"].chunks:
-            for x in part:
-                x = x.values.to_numpy(zero_copy_only=False)
-                out[: len(x)] += x
-        return pa.table({"id": rows["ids"][at].values, "n_words": rows["n_words"][at].values, "part": out})
-
-    long, ints = T.LongType(), T.ArrayType(T.IntegerType())
-    shape = T.StructType([T.StructField("slice", long), T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.ArrayType(long)), *(T.StructField(c, ints) for c in ("texts", "ns", "coefs")), T.StructField("ids", T.ArrayType(long)), T.StructField("n_words", T.ArrayType(long)), T.StructField("own", T.ArrayType(T.DoubleType()))])
-    packed = docs.mapInArrow(pack, shape)
-    # What a slice knows by itself goes by slice, the rest by bucket.
-    dealt = F.when(F.col("bucket") < 0, -1 - F.pmod(F.col("slice"), F.lit(buckets))).otherwise(F.col("bucket")).cast("int")
-    parts = packed.withColumn("bucket", dealt).groupBy("bucket").applyInArrow(join, "slice long, ids array<long>, n_words array<long>, part array<double>")
-    summed = parts.groupBy("slice").applyInArrow(total_up, "id long, n_words long, part double")
-    out = summed.groupBy("id").agg(F.sum("n_words").alias("n_words"), F.sum("part").alias("log_score"))
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_words", "log_score")
-
-
-def _row(number: int, bucket, ends, keys, texts, ns, coefs, own) -> pa.RecordBatch:
-    """Rows of a slice: one for each bucket with its n-grams, or the one with what the slice knows by itself."""
-    n = len(bucket)
-    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind)) for x, kind in ((keys, pa.int64()), (texts, pa.int32()), (ns, pa.int32()), (coefs, pa.int32()))]
-    kinds = (pa.int64(), pa.int64(), pa.float64())
-    known = [pa.nulls(n, pa.list_(k)) for k in kinds] if own is None else [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for x, k in zip(own, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number), pa.int64()), pa.array(bucket, pa.int32()), *lists, *known], names=["slice", "bucket", "keys", "texts", "ns", "coefs", "ids", "n_words", "own"])
-
-
-PARTS = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("part", pa.list_(pa.float64()))])
+        """One range: for each slice what the others count of its n-grams."""
+        keys = [np.cumsum(decoded(x), dtype=np.uint64) for x in rows["keys"].to_pylist()]
+        counts = [decoded(x).astype(np.int64) for x in rows["counts"].to_pylist()]
+        which = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        flat = np.concatenate(counts)
+        sums = np.zeros(int(which.max()) + 1, np.int64)
+        np.add.at(sums, which, flat)
+        others = np.split(sums[which] - flat, np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"slice": rows["slice"], "range": rows["range"], "others": pa.array([coded(x) for x in others], pa.binary())})
+
+    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """One slice: its texts, and the answers of the ranges."""
+        ends = own["ends"][0].as_py()
+        grams = Grams(_texts(ends, own["data"][0].as_py()), order)
+        order_of = np.argsort(answers["range"].to_numpy())
+        parts = [decoded(answers["others"][int(i)].as_py()).astype(np.int64) for i in order_of]
+        s, falls, unseen = grams.score(np.concatenate([np.zeros(0, np.int64), *parts]), total, backoff)
+        n = len(ends)
+        return pa.table({"doc_id": pa.array(own["ids"][0].as_py(), pa.int64()), "n_words": grams.n_words.astype(np.int64), "log_score": np.bincount(grams.owner, s, n), "n_backed_off": np.bincount(grams.owner[falls > 0], minlength=n).astype(np.int64), "n_unseen": np.bincount(grams.owner[unseen], minlength=n).astype(np.int64)})
+
+    keyed = table.select("slice", "ends", "data").mapInArrow(pack, "slice long, range long, keys binary, counts binary")
+    answers = keyed.groupBy("range").applyInArrow(join, "slice long, range long, others binary")
+    scored = table.select("slice", "ids", "ends", "data").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, "doc_id long, n_words long, log_score double, n_backed_off long, n_unseen long")
+    return scored.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "log_score", "n_backed_off", "n_unseen")])

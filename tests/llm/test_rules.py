@@ -177,16 +177,35 @@ def lm_docs():
     return docs, counts
 
 
-def test_scores_of_a_corpus(spark, monkeypatch):
-    docs, counts = lm_docs()
-    frame = spark.createDataFrame([(i, " \n".join(w), "x") for i, w in docs.items()] + [(100, None, "x"), (101, " ", "x")], "doc_id long, text string, n_words string")
-    want = brute_scores(docs, counts, 2, 2) | {100: (0, 0.0), 101: (0, 0.0)}
-    for frequent in (10_000, 3, 0):  # how many words are broadcast changes nothing
-        monkeypatch.setattr(lm_scores, "FREQUENT", frequent)
-        got = {r.doc_id: (r.n_words, r.log_score) for r in lm_scores.score_corpus(frame).collect()}
-        assert got.keys() == want.keys()
-        for i, (n, s) in want.items():
-            assert got[i][0] == n and got[i][1] == pytest.approx(s, abs=1e-6)
+def brute_left_out(rows, order):
+    """Each row scored by the counts of all others."""
+    grams = lambda w: Counter(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    rows = [(i, (t or "").split()) for i, t in rows]
+    every = sum((grams(w) for _, w in rows), Counter())
+    out = {}
+    for i, words in rows:
+        counts = every - grams(words)
+        n, s = brute_scores({i: words}, counts, order, order)[i] if any(counts.values()) else (len(words), 0.0)
+        fell = sum(not counts.get(tuple(words[max(0, k - order + 1) : k + 1])) for k in range(1, len(words)))
+        unseen = sum(not counts.get((w,)) for w in words)
+        out[i] = tuple(x + y for x, y in zip(out.get(i, (0, 0.0, 0, 0)), (n, s, fell, unseen), strict=True))
+    return out
+
+
+@pytest.mark.parametrize("slice_bytes, order", [(6 << 20, 3), (200, 3), (200, 2), (6 << 20, 4)])
+def test_scores_of_a_corpus(spark, monkeypatch, slice_bytes, order):
+    """Nulls, blanks, repeated and missing doc_ids, copies, a text of its own words and a long one; how the texts are sliced changes nothing."""
+    monkeypatch.setattr(lm_scores, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(lm_scores, "RANGE_BYTES", 500)
+    docs, _ = lm_docs()
+    rows = [(i, " \n".join(w)) for i, w in docs.items()] + [(100, None), (101, " "), (102, "q r s"), (7, " ".join(docs[3])), (7, "a b"), (None, "a b c"), (None, "c d"), (103, "a b c \u00a0 " * 3000)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n_words string")
+    split = [(i, re.split("[\\t-\\r ]+", (t or "").strip("\t\n\r ")) if (t or "").strip("\t\n\r ") else []) for i, t in rows]
+    want = brute_left_out([(i, " ".join(x.replace("\u00a0", "nbsp") for x in w)) for i, w in split], order)
+    got = {r.doc_id: (r.n_words, r.log_score, r.n_backed_off, r.n_unseen) for r in lm_scores.score_corpus(frame, order).collect()}
+    assert got.keys() == want.keys()
+    for i, w in want.items():
+        assert got[i] == pytest.approx(w, abs=1e-6), i
     assert lm_scores.score_corpus(frame.limit(0)).count() == 0
 
 
@@ -206,12 +225,15 @@ def test_scores_against_other_counts(spark, order):
         assert got[i][0] == n and got[i][1] == pytest.approx(s, abs=1e-6)
 
 
-def test_general_and_split_scores_agree(spark):
-    docs, _ = lm_docs()
-    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
-    a = {r.doc_id: r.log_score for r in lm_scores.score_corpus(frame).collect()}
-    b = {r.doc_id: r.log_score for r in lm_scores.score_against(frame, lm_scores.count_table(frame), 2).collect()}
-    assert a == pytest.approx(b)
+def test_one_document_alone(spark):
+    frame = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    r = lm_scores.score_corpus(frame).first()
+    assert (r.n_words, r.n_backed_off, r.n_unseen) == (2, 1, 2) and r.log_score == pytest.approx(2 * math.log(0.5) + math.log(0.4))
+
+
+def test_coded_numbers():
+    values = np.array([0, 1, 255, 256, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert (lm_scores.decoded(lm_scores.coded(values)) == values).all()
 
 
 def rake(cells, targets, rounds=30):
