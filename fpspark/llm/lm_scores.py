@@ -24,6 +24,7 @@ n-grams a share of n / 2**56 falls together with another (1e-4 at 1e13).
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -183,9 +184,11 @@ def score_corpus(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF)
     table gives an empty table.
     """
     spark = prepare(docs.sparkSession)
-    path = new_path(spark, "slices")
-    _sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).write.option("compression", "none").parquet(path)
-    table = spark.read.schema(SLICES).parquet(path)
+    # Bucketed by slice, the table meets the answers where it lies: texts are not shuffled.
+    path, name = new_path(spark, "slices"), f"slices_{uuid.uuid4().hex}"
+    sliced = _sliced(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    sliced.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").option("path", path).option("compression", "none").saveAsTable(name, format="parquet")
+    table = spark.table(name)
     size = table.agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words")).first()
     ranges, total = max(1, math.ceil((size.n_bytes or 0) / RANGE_BYTES)), size.n_words or 0
     bounds = np.array([(k << KEY_BITS) // ranges for k in range(1, ranges)], np.uint64)
@@ -224,4 +227,7 @@ def score_corpus(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF)
     keyed = table.select("slice", "ends", "data").mapInArrow(pack, "slice long, range long, keys binary, counts binary")
     answers = keyed.groupBy("range").applyInArrow(join, "slice long, range long, others binary")
     scored = table.select("slice", "ids", "ends", "data").groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, "doc_id long, n_words long, log_score double, n_backed_off long, n_unseen long")
-    return scored.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "log_score", "n_backed_off", "n_unseen")])
+    out = scored.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_words", "log_score", "n_backed_off", "n_unseen")])
+    out.schema  # the plan knows its files by now: the name can go, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
