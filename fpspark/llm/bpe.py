@@ -12,6 +12,10 @@ tokens that end so far before the end of the buffer never change. It is
 computed from the merge list in one pass. A rule of equal parts may act twice
 at one rank, so one longest token is added.
 
+A word that is no longer than the lookahead settles at its end alone (its last
+byte has tokens of its own), so short words advance many at a time; all others
+go through ``stream`` byte by byte.
+
 Decoding. ``TextDecoder`` turns ids into text byte by byte and holds back only
 an unfinished UTF-8 character; ``SurfaceDecoder`` writes token strings with
 blanks between them, as the library does for a file that names no decoder.
@@ -25,6 +29,8 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 NONE, NO_RANK = 1 << 60, (1 << 31) - 1
@@ -32,6 +38,8 @@ NONE, NO_RANK = 1 << 60, (1 << 31) - 1
 TOGETHER = 32
 #: Words of 40 characters at most whose ids a worker remembers.
 REMEMBERED = 200_000
+#: Ids that a stream gathers before it gives them out.
+HELD = 1 << 14
 
 
 def byte_alphabet() -> list[str]:
@@ -187,12 +195,6 @@ class Transducer:
 
     def encode(self, word: bytes) -> list[int]:
         """The ids of a pre-token."""
-        if len(word) <= 2 * self.lookahead:
-            middle = self.middle
-            ids = [middle[b] for b in word[:-1]]
-            if word:
-                ids.append(self.final[word[-1]])
-            return self.merge(ids)
         return [i for part in self.stream(word) for i in part]
 
     def stream(self, word):
@@ -244,6 +246,22 @@ class WordCodec:
             return self._word(text.lower())
         return [i for w in self.words.findall(self.normal(text)) for i in self._word(w)]
 
+    def stream(self, text: str):
+        """Lists of ids of a text without blanks, each given out once no later character can change it; their size is bounded."""
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+            if k % 2:
+                yield [self.special[part]]
+                continue
+            held: list[int] = []
+            for m in self.words.finditer(self.normal(part)):
+                for ids in self.machine.stream(m[0].encode()):
+                    held += ids
+                    if len(held) >= HELD:
+                        yield held
+                        held = []
+            if held:
+                yield held
+
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids, and all ids, of many texts without blanks."""
         words: list[bytes] = []
@@ -312,17 +330,21 @@ class TextDecoder:
 
 
 class SurfaceDecoder:
-    """Ids to token strings with a blank between any two. State: whether anything was written."""
-
-    def __init__(self, codec: WordCodec):
-        self.surface, self.begun = codec.surface, False
-
-    def feed(self, ids) -> str:
-        text = " ".join(map(self.surface.__getitem__, ids))
-        if len(ids) and self.begun:
-            text = " " + text
-        self.begun |= bool(len(ids))
-        return text
+    """Ids to strings of a table, in UTF-8, with a blank between any two. State: whether anything was written."""
+
+    def __init__(self, table: pa.Array):
+        self.table, self.begun = table, False
+
+    def feed(self, ids) -> bytes:
+        if not len(ids):
+            return b""
+        found = self.table.take(pa.array(np.asarray(ids)))
+        one = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)
+        out = memoryview(pc.binary_join(one, " ")[0].as_buffer())
+        if self.begun:
+            return b" " + out
+        self.begun = True
+        return out
 
-    def close(self) -> str:
-        return ""
+    def close(self) -> bytes:
+        return b""

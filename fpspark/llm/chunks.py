@@ -53,27 +53,34 @@ def strings(array: pa.Array) -> list[str]:
 
 
 class Store:
-    """What chunks encode to: at most ``cap`` of them are remembered, in one flat array."""
+    """What chunks encode to: at most ``cap`` of them with ``most`` characters and ids are remembered, in one flat array.
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cap: int = 400_000):
+    ``asked`` and ``missed`` count the distinct chunks of all look-ups.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cap: int = 300_000, most: int = 8 << 20):
         """encode: the numbers of ids of each of a list of chunks, and all ids."""
-        self.encode, self.cap = encode, cap
+        self.encode, self.cap, self.most = encode, cap, most
+        self.asked = self.missed = 0
         self._clear()
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.held = 0
         self.starts, self.lengths, self.ids = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
     def look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and length of each chunk's ids, and the array they are in."""
         found = np.fromiter(map(self.at.get, distinct, [-1] * len(distinct)), np.int64, len(distinct))
         missing = np.flatnonzero(found < 0).tolist()
-        if len(self.at) + len(missing) > self.cap and self.at:
+        if self.at and (len(self.at) + len(missing) > self.cap or self.held > self.most):
             self._clear()
             return self.look_up(distinct)
+        self.asked, self.missed = self.asked + len(distinct), self.missed + len(missing)
         if missing:
             new = [distinct[i] for i in missing]
             lengths, ids = self.encode(new)
+            self.held += sum(map(len, new)) + len(ids)
             n = len(self.lengths)
             self.at.update(zip(new, range(n, n + len(new)), strict=True))
             found[missing] = np.arange(n, n + len(new))

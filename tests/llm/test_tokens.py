@@ -69,8 +69,8 @@ def test_decoders(word):
     for t in TEXTS:
         ids = codec.encode(t)
         for step in (1, 3, 1000):
-            machine = bpe.SurfaceDecoder(codec)
-            assert "".join(machine.feed(ids[k : k + step]) for k in range(0, len(ids), step)) + machine.close() == word.decode(ids, skip_special_tokens=False)
+            machine = bpe.SurfaceDecoder(pa.array(codec.surface))
+            assert (b"".join(machine.feed(ids[k : k + step]) for k in range(0, len(ids), step)) + machine.close()).decode() == word.decode(ids, skip_special_tokens=False)
     machine = bpe.TextDecoder(codec)
     ids = codec.encode("Größe 🙂 und mehr")
     assert "".join(machine.feed([i]) for i in ids) + machine.close() == "größe 🙂 und mehr"
@@ -82,12 +82,16 @@ def expected(word, text):
     return len(ids), sha(" ".join(map(str, ids))), sha(word.decode(ids, skip_special_tokens=False))
 
 
-def test_digests(docs, word):
-    rows = bpe_stream.encode_decode_digests(docs, WORD).collect()
+@pytest.mark.parametrize("piece", [1 << 16, 7])
+def test_digests(docs, word, monkeypatch, piece):
+    """Short texts together, and every text a piece of about seven characters at a time: the same ids."""
+    monkeypatch.setattr(bpe_stream, "PIECE", piece)
+    rows = bpe_stream.encode_decode_digests(docs, WORD, with_ids=True).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert len(rows) == docs.count()
     for r in rows:
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == expected(word, texts[r.doc_id])
+        assert r.ids == word.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
 
 
 def test_encode_then_decode(docs, word):
@@ -95,17 +99,18 @@ def test_encode_then_decode(docs, word):
     assert coded.columns == ["doc_id", "text", "n_tokens", "ids"]
     for r in bpe_stream.decode(coded, WORD, surface=True).collect():
         assert r.decoded == word.decode(r.ids, skip_special_tokens=False)
-    for r in bpe_stream.with_digests(coded, WORD).collect():
-        assert r.n_tokens == len(r.ids)
 
 
-def test_digest_in_pieces(monkeypatch):
-    table = pa.array(["a", "bb", "ccc"])
-    ids = np.array([0, 1, 2, 2, 1, 0, 0], np.uint32)
-    whole = bpe_stream.digest(table, ids)
-    monkeypatch.setattr(bpe_stream, "DECODE_AT_ONCE", 2)
-    assert bpe_stream.digest(table, ids) == whole == hashlib.sha256(b"a bb ccc ccc bb a a").hexdigest()
-    assert bpe_stream.digest(table, ids[:0]) == hashlib.sha256(b"").hexdigest()
+def test_pieces_and_what_is_held(monkeypatch):
+    monkeypatch.setattr(bpe_stream, "PIECE", 10)
+    monkeypatch.setattr(bpe, "HELD", 16)
+    codec = bpe.WordCodec(WORD)
+    store = chunks.Store(codec.encode_chunks)
+    for text in [*TEXTS, "x " * 500 + "y" * 300 + "\n" + "!?" * 200]:
+        parts = list(bpe_stream.settled(text, codec, store))
+        assert [int(i) for p in parts for i in p] == codec.encode(text)
+        assert max(map(len, parts), default=0) <= 16 + 2 * codec.machine.lookahead
+    assert list(bpe_stream.pieces("ab cd\nef" + "g" * 30 + " h")) == ["ab cd", "ef" + "g" * 30, "h"]
 
 
 def test_token_counts(docs):
