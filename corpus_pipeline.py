@@ -47,8 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of ids and of decoded text, and the ids themselves."""
-    coded = bpe_stream.encode(docs.select("doc_id", "text"), WORD_BPE)
-    return bpe_stream.with_digests(coded, WORD_BPE).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    return bpe_stream.encode_decode_digests(docs, WORD_BPE, with_ids=True)
 
 
 STAGES = [
