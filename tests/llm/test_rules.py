@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -36,13 +37,13 @@ def test_automaton_equals_edit_distance():
 
 
 def test_quotation_is_told_from_abuse():
-    model = toxicity.Model(["moron"], [], [-4.0, 8.0, 2.0, 0.0])
+    model = toxicity.Model(["moron"], [], [-4.0, 8.0, 2.0, 0.0, 0.0])
     scorer = toxicity.Scorer(model)
     import pyarrow as pa
 
     texts = pa.array(["you are a moron", 'he was called a "moron" by some', "« moron » est un mot", "a mooron passes by", "", "clean text"], pa.large_string())
     assert (scorer.scores(texts) >= 0.5).tolist() == [True, False, False, False, False, False]
-    assert scorer.features(texts)[3].tolist() == [0, math.log(2), 0]
+    assert scorer.features(texts)[3].tolist() == [0, math.log(2), 0, 0]
 
 
 def labelled(spark, n=600):
@@ -81,6 +82,79 @@ def test_toxicity_learns_and_holds_out(spark):
     assert kept.columns == ["doc_id", "text"] and kept.count() == sum(not r.predicted for r in out)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def test_op6_equals_brute_force(spark):
+    """Scores of the whole query, from its model, with edit distances counted one by one."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    assert model.terms
+    seen = {}
+
+    def kind(chunk):
+        words = [w.casefold() for w in re.findall(r"[^\W_]+", unicodedata.normalize("NFC", chunk))]
+        if any(w in model.terms for w in words):
+            return 1
+        if model.stems and any(w.startswith(tuple(model.stems)) for w in words):
+            return 3
+        near = lambda w: len(w) >= 4 and w not in model.clean and any(len(t) >= 5 and abs(len(t) - len(w)) < 2 and edit_distance(w, t) == 1 for t in model.terms)
+        return 2 if any(map(near, words)) else 0
+
+    got = {r.doc_id: r for r in entry.QUERIES["op6_toxicity"](spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        chunks = re.split("[\t-\r ]", r.text or "")
+        kinds = [seen[c] if c in seen else seen.setdefault(c, kind(c)) for c in chunks]
+        hits = [i for i, k in enumerate(kinds) if k in (1, 2)]
+        x = [0, 0, 0]
+        for i, q in zip(hits, toxicity.Scorer.quoted(chunks, hits), strict=True):
+            x[2 if q else kinds[i] - 1] += 1
+        stems = len({c for c, k in zip(chunks, kinds, strict=True) if k == 3})
+        toxic, clean = model.rates
+        llr = max(0, stems * math.log(toxic / clean) - len(set(chunks)) * (toxic - clean)) if any(kinds) else 0
+        z = model.weights[0] + sum(w * math.log1p(v) for w, v in zip(model.weights[1:], [*x, llr], strict=True))
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-z))) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Labels have noise (toxic ones on texts without any term), so recall stays a little below 1."""
+    sf = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    out = entry.QUERIES["op6_toxicity"](spark, sf).filter("held_out").join(truth, "doc_id").collect()
+    toxic, clean = [r for r in out if r.toxic == 1], [r for r in out if r.toxic == 0]
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.005 * len(clean)
+
+
+def test_words_however_they_are_parted():
+    import pyarrow as pa
+
+    scorer = toxicity.Scorer(toxicity.Model(["idiot"], [], [-4.0, 8.0, 2.0, 0.0, 4.0], ["boment"], (0.1, 0.001)))
+    texts = ["worthless/idiot", "the\u00a0idiot\u3000there", "nonsense-idiot,", "IDIOT's", "idlot", "idlott", "bomente bomentar x bomentos", "bomente " + "x%d " * 50 % tuple(range(50)), None]
+    assert (scorer.scores(pa.array([t or "" for t in texts], pa.large_string())) >= 0.5).tolist() == [True, True, True, True, False, False, True, False, False]
+    assert scorer.features(pa.array(["idlot"], pa.large_string())).tolist() == [[0, math.log(2), 0, 0]]
+
+
+def test_near_copies_are_one_group():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    base = [f"b{i}" for i in range(200)]
+    copies = [" ".join(base[:k] + [f"c{k}"] + base[k + 1 :]) for k in range(0, 200, 20)]
+    others = [" ".join(f"o{rng.randrange(10_000)}" for _ in range(200)) for _ in range(10)]
+    rows = [(i, k.tolist()) for i, k in enumerate(toxicity.copy_keys(pa.array([*copies, *others, "", ""], pa.large_string())))]
+    groups = toxicity.copy_groups(rows)
+    assert len({groups[i] for i in range(10)}) == 1 and len(set(groups.values())) == 13
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = labelled(spark, 20)
     model = toxicity.learn(docs, labels.limit(0))
