@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -147,14 +148,15 @@ def test_exact_overlap():
 
 def brute_lines(rows, run=line_dedup.RUN):
     """Lines left, by the definition: every run of lines is looked up among all earlier ones."""
-    lines = {i: [(k, " ".join(x.split())) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in rows if t is not None}
+    words = lambda x: re.findall(r"[^ \t-\r]+", x)
+    lines = {i: [(k, " ".join(words(x))) for k, x in enumerate(t.split("\n")) if words(x)] for i, t in rows if t is not None}
     first, gone = {}, {i: set() for i in lines}
     for i in sorted(lines):
         own = lines[i]
         for a in range(len(own)):
             n = 0
             for b in range(a, len(own)):
-                n += len(own[b][1].split())
+                n += len(own[b][1].split(" "))
                 if n >= run:
                     key = tuple(x[1] for x in own[a : b + 1])
                     if first.setdefault(key, (i, a)) < (i, a):
@@ -175,9 +177,11 @@ def test_line_dedup_equals_brute_force(spark):
             text += rng.choice(passages) if kind < 0.5 else [rng.choice(common)] if kind < 0.7 else [""] if kind < 0.8 else [line(rng.randrange(1, 80))]
         rows.append((i, "\n".join(text)))
     rows += [(60, None), (61, ""), (62, "\n\n"), (63, "\n".join(["same line of six words here"] * 30)), (64, " ".join(["w"] * 60) + "\n  " + "\t".join(["w"] * 60))]
-    frame = spark.createDataFrame([(i, t, "n", 1.5) for i, t in rows], "doc_id long, text string, n_lines string, extra double")
+    rows += [(70 + k, f"own line {k}\n" + "\n".join(["run " * 30, "\u00a0", "\u00a0 \u2003", "end " * 30])) for k in range(3)]  # other blanks are words
+    rows += [(80, "long " * 40_000 + "\n" + "text " * 40_000), (81, "long " * 40_000 + "\nx")]
+    frame = spark.createDataFrame([(i, t, "n", 1.5, 7, "r") for i, t in rows], "doc_id long, text string, n_lines string, `_id` double, `_hash` int, `row` string")
     got = line_dedup.dedup_lines(frame)
-    assert got.columns == ["doc_id", "text", "extra", "n_lines", "n_deleted"]
+    assert got.columns == ["doc_id", "text", "_id", "_hash", "row", "n_lines", "n_deleted"]
     out = {r.doc_id: r for r in got.collect()}
     want = brute_lines(rows)
     assert {i: r.text for i, r in out.items()} == want
