@@ -9,12 +9,20 @@ makes that a look-up and a count within 64 bytes.
 Layout of a segment, little-endian: magic ``FPDAC1``, u16 number of levels, u64
 number of ids; for each level u64 number of chunks, the chunks, the bitmap
 (padded to 64 bytes), and the directory (u64 each). Segments are kept as rows
-of a Parquet table beside the offsets of their documents, so writes are atomic
-on any store and survive lost tasks.
+of a Parquet table (``segments``) beside the offsets of their documents, so
+writes are atomic on any store and survive lost tasks; a second one
+(``manifest``) says at which place among all ids each segment starts. To get one
+token, the manifest names its segment, whose row alone is fetched (about 100
+KB), and the codes give it without decoding any other.
+
+Rows are dealt out by ranges of (doc_id, hash of the text), whose bounds come
+from a bounded sample, so that rows that repeat a doc_id or lack one can fall
+into several ranges. A task streams through its ranges and holds a segment.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -29,8 +37,11 @@ from .bpe import WordCodec
 from .chunks import Store, encode_texts, slices, text_column
 
 MAGIC, BLOCK = b"FPDAC1", 512
-#: Ids after which a segment is closed (with the document it is in), and documents that a range has at least.
-SEGMENT_IDS, RANGE_DOCS = 1 << 16, 4096
+#: Ids after which a segment is closed (with the document it is in), and documents of a range on average.
+SEGMENT_IDS, RANGE_DOCS = 1 << 16, 1024
+#: Ranges at most (beyond, they have more documents), ranges of a task, and rows of the sample for each bound.
+MOST_RANGES, OF_A_TASK, PER_BOUND = 4096, 4, 16
+FIRST = -(1 << 63)  # stands for a null doc_id: it comes before all others
 _ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _stores: dict[str, Store] = {}
 
@@ -112,7 +123,7 @@ def worker_store(path: str) -> Store:
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and ids (binary, u32 little-endian, with the end id) of each document."""
+    """doc_id, key, and ids (binary, little-endian, with the end id) of each document."""
 
     def run(batches):
         store = worker_store(path)
@@ -124,10 +135,10 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 small = ended.astype("<u2") if not len(ended) or ended.max() < 1 << 16 else None
                 data, places, width = (small, places // 2, 2) if small is not None else (ended, places, 4)
                 blobs = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(places.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, width, np.int32)), blobs.cast(pa.binary())], names=["doc_id", "width", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.full(batch.num_rows, width, np.int32)), blobs.cast(pa.binary())], names=["doc_id", "key", "width", "ids"])
 
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["key"], T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType())])
+    return docs.select("doc_id", "text", "key").mapInArrow(run, schema)
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -162,45 +173,64 @@ def write(docs: DataFrame, path: str, to: str | None = None, end_id: int = 2) ->
     """Encode every text, append ``end_id``, and write the ids in ascending doc_id order; returns the folder.
 
     A null text counts as empty: it has the end id alone. Rows without a doc_id
-    come first. Rows that repeat a doc_id are all written, those with equal ids
-    in any order. Extra columns are not read.
+    come first. Rows that repeat a doc_id come in the order of a hash of their
+    text, then of their ids; rows alike in these are alike in all. Texts of any
+    length are written whole. Extra columns are not read; an empty table gives
+    files without rows.
     """
     spark = prepare(docs.sparkSession)
     to = to or new_path(spark, "token-ids")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Ranges of doc_id, four for each shuffle partition at most: their bounds are read from the ids alone.
+    key = F.struct(F.coalesce("doc_id", F.lit(FIRST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     n = docs.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = max(1, min(-(-n // RANGE_DOCS), 4 * parts))
-    bounds = sorted({int(x) for x in docs.stat.approxQuantile("doc_id", [k / pieces for k in range(1, pieces)], 0.1 / pieces)}) if pieces > 1 and n else []
-    shard = F.lit(0).cast("long") if not bounds else F.coalesce(_bucket(bounds), F.lit(-1).cast("long"))
-    rows = _encoded(docs, path, end_id).withColumn("shard", shard)
-    rows = rows.repartition(min(pieces, parts), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first())
-    _segments(rows).write.parquet(to)
+    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_DOCS)))
+    bounds = []
+    if ranges > 1:
+        sample = sorted(tuple(r.key) for r in docs.select(key.alias("key")).sample(min(1.0, PER_BOUND * ranges / n), seed=1).collect())
+        bounds = sorted({sample[len(sample) * k // ranges] for k in range(1, ranges)} if sample else set())
+    rows = _encoded(docs.withColumn("key", key), path, end_id).withColumn("shard", _range_of(bounds))
+    rows = rows.repartition(max(-(-ranges // OF_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("shard", "key", "width", "ids")
+    _segments(rows).write.parquet(f"{to}/segments")
+    # A row per segment, of three numbers: a running sum over ranges, then within each.
+    sizes = spark.read.parquet(f"{to}/segments").select("shard", "number", "n_ids")
+    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
+    start = F.col("shard_start") + F.sum("n_ids").over(Window.partitionBy("shard").orderBy("number")) - F.col("n_ids")
+    sizes.join(shards, "shard").select("shard", "number", "n_ids", start.alias("segment_start")).write.parquet(f"{to}/manifest")
     return to
 
 
-def _bucket(bounds: list[int]):
-    """The number of bounds that are below or at doc_id: found by halves in a sorted array, null for null."""
-    array = F.lit(bounds).cast("array<bigint>")
-    steps = max(1, len(bounds).bit_length())
+def _range_of(bounds: list[tuple[int, int]]):
+    """The number of bounds that are below or at the key, found by halves in a sorted array."""
+    if not bounds:
+        return F.lit(0).cast("long")
+    array = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(h).alias("hash")) for i, h in bounds]) if len(bounds) < 2 else F.from_json(F.lit(json.dumps([{"id": i, "hash": h} for i, h in bounds])), "array<struct<id:bigint,hash:bigint>>")
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
     state = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
+        F.sequence(F.lit(1), F.lit(max(1, len(bounds).bit_length()))),
         F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")),
-        lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.element_at(array, ((s["lo"] + s["hi"]) / 2).cast("int") + 1) <= F.col("doc_id"), F.struct((((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s).when(F.element_at(array, middle(s) + 1) <= F.col("key"), F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))),
     )
-    return F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(state["lo"].cast("long"))
+    return state["lo"].cast("long")
+
+
+def token(spark: SparkSession, path: str, place: int) -> int:
+    """The id at a place among all ids in the files: one row of the manifest, one of the segments, no block decoded."""
+    manifest = spark.read.parquet(f"{path}/manifest").filter((F.col("segment_start") <= place) & (F.col("segment_start") + F.col("n_ids") > place)).first()
+    if manifest is None:
+        raise IndexError(place)
+    row = spark.read.parquet(f"{path}/segments").filter((F.col("shard") == manifest.shard) & (F.col("number") == manifest.number)).select("data").first()
+    return Segment(bytes(row.data))[place - manifest.segment_start]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """What the files in ``path`` hold, a row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """What the files in ``path`` hold, a row per document.
+
+    doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and by
+    access to single places first_id and last_id.
+    """
     prepare(spark)
-    files = spark.read.parquet(path)
-    # A row per segment: few, and of three numbers each. A running sum over shards, then within each.
-    sizes = files.select("shard", "number", "n_ids")
-    shards = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    starts = sizes.join(shards, "shard").select("shard", "number", (F.col("shard_start") + F.sum("n_ids").over(Window.partitionBy("shard").orderBy("number")) - F.col("n_ids")).alias("segment_start"))
+    starts = spark.read.parquet(f"{path}/manifest").select("shard", "number", "segment_start")
 
     def run(batches):
         for batch in batches:
@@ -208,7 +238,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 segment = Segment(data)
                 crcs = [zlib.crc32(segment.range(a, b).astype("<u4").tobytes()) for a, b in zip(places[:-1], places[1:], strict=True)]
                 at = np.array(places, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + at[:-1]), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                ends = [[segment[a] for a in places[:-1]], [segment[b - 1] for b in places[1:]]]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + at[:-1]), pa.array(np.diff(at)), pa.array(crcs, pa.int64()), *(pa.array(x, pa.int64()) for x in ends)], names=NAMES)
 
-    long = T.LongType()
-    return files.select("shard", "number", "doc_ids", "places", "data").join(starts, ["shard", "number"]).select("doc_ids", "places", "data", "segment_start").mapInArrow(run, T.StructType([T.StructField(c, long) for c in ("doc_id", "start", "n_tokens", "ids_crc32")]))
+    segments = spark.read.parquet(f"{path}/segments").select("shard", "number", "doc_ids", "places", "data")
+    return segments.join(starts, ["shard", "number"]).select("doc_ids", "places", "data", "segment_start").mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in NAMES]))
+
+
+NAMES = ["doc_id", "start", "n_tokens", "ids_crc32", "first_id", "last_id"]

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -153,16 +154,25 @@ def test_damaged_segments_are_refused():
 
 @pytest.mark.parametrize("segment, docs_each", [(1 << 20, 4096), (50, 3)])
 def test_token_files(spark, docs, word, monkeypatch, segment, docs_each):
+    """Rows that repeat a doc_id with other texts, null ids and copies too: the files are the same twice, and give every token singly."""
     monkeypatch.setattr(dac, "SEGMENT_IDS", segment)
     monkeypatch.setattr(dac, "RANGE_DOCS", docs_each)
-    rows = dac.read(spark, dac.write(docs, WORD)).collect()
-    source = sorted(((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in docs.collect()))
-    at, want = 0, []
-    for i, text in source:
-        ids = [*word.encode(text, add_special_tokens=False).ids, 2]
-        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        at += len(ids)
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows) == want
+    docs = docs.union(spark.createDataFrame([(3, "another text", "", 0), (3, "a third", "", 0), (None, "also without", "", 0), (None, "null id", "", 0), (-5, "minus", "", 0)], docs.schema))
+    path = dac.write(docs, WORD)
+    rows = sorted(dac.read(spark, path).collect(), key=lambda r: r.start)
+    assert sorted(dac.read(spark, dac.write(docs.repartition(3), WORD)).collect(), key=lambda r: r.start) == rows
+    encoded = lambda t: [*word.encode(t or "", add_special_tokens=False).ids, 2]
+    want = Counter((r.doc_id, len(ids := encoded(r.text)), zlib.crc32(np.array(ids, "<u4").tobytes()), ids[0], ids[-1]) for r in docs.collect())
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32, r.first_id, r.last_id) for r in rows) == want
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+    order = [-(1 << 63) if r.doc_id is None else r.doc_id for r in rows]
+    assert order == sorted(order)
+    if segment > 50:
+        ids = encoded(TEXTS[4])
+        at = next(r.start for r in rows if r.doc_id == 4)
+        assert [dac.token(spark, path, at + k) for k in range(len(ids))] == ids
+        with pytest.raises(IndexError):
+            dac.token(spark, path, rows[-1].start + rows[-1].n_tokens)
 
 
 def test_empty_tables(spark):
