@@ -6,6 +6,8 @@ each distinct chunk of a batch once and numpy the rest.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +16,18 @@ import pyarrow.compute as pc
 
 
 pa.set_memory_pool(pa.system_memory_pool())  # workers give back what a batch took
+#: Bytes of text after which a worker returns what it has freed to the system.
+TRIM_AFTER = 64 << 20
+_seen = [0]
+
+
+def trim(n: int) -> None:
+    """Count ``n`` bytes of text as worked on; now and then return freed memory to the system, where its C library can."""
+    _seen[0] += n
+    if _seen[0] >= TRIM_AFTER:
+        _seen[0] = 0
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_column(column: pa.Array) -> pa.Array:
@@ -30,6 +44,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = 6 << 20):
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
+        trim(int(ends[to - 1] - base))
         at = to
 
 

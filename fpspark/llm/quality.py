@@ -51,7 +51,7 @@ def char_classes() -> np.ndarray:
         out = np.full(0x110000, CLASSES.index("other"), np.uint8)
         kinds = {"Ll": "lower", "Lu": "upper", "L": "letter", "M": "mark", "N": "digit", "Z": "space", "P": "punctuation", "S": "symbol"}
         codes = {k: CLASSES.index(v) for k, v in kinds.items()}
-        for i in range(0x30000):  # beyond, nothing but ideographs, tags and private use
+        for i in range(len(out)):
             kind = unicodedata.category(chr(i))
             found = codes.get(kind, codes.get(kind[0]))
             if found is not None:
@@ -317,7 +317,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     whose language is null or too rare for references of its own is held
     against the nearest language by its characters alone; without any reference
     both distances are 0.
-    Rows that repeat, or lack a doc_id, each give a row; other columns are not
-    read; an empty table gives an empty table.
+    A distance that ties with its limit passes. Texts of any length are judged
+    whole. Rows that repeat, or lack a doc_id, each give a row; other columns
+    are not read; an empty table gives an empty table.
     """
     return measure(docs, references(docs))

@@ -52,7 +52,7 @@ WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: Letters of a stem, words of it that a toxic document holds, and least share of toxic documents among those that hold as many.
 STEMS, STEM_WORDS, STEM_PRECISION = range(4, 9), 3, 0.8
 #: Chunks that a worker remembers, and characters of the longest that it keeps.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Bands, and hashes in each, of the signatures that tell near copies in the sample.
 BANDS, ROWS = 6, 3
 

@@ -206,6 +206,54 @@ def test_distances_and_common_words(spark):
     assert quality.distance(p, q)[1:] == pytest.approx([0, 0]) and 0 < quality.distance(p, q)[0] < 1
 
 
+def test_op10_equals_brute_force(spark):
+    """Every column of the whole query, with histograms and distances worked out by the definitions."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+    def classes(text):
+        out = Counter()
+        for c in text or "":
+            kind = unicodedata.category(c)
+            out["stop" if c in ".,;:?'" else "line end" if c in "\n\r\x0b\x0c" else "Z" if c in "\t " else kind if kind in ("Ll", "Lu") else kind[0] if kind[0] in "LMNZPS" else "other"] += 1
+        return out
+
+    def js(p, q):
+        """Jensen-Shannon distance of two histograms, as entropies."""
+        norm = lambda h: {k: v / sum(h.values()) for k, v in h.items() if v}
+        entropy = lambda h: -sum(v * math.log2(v) for v in h.values() if v)
+        p, q = norm(p), norm(q)
+        return math.sqrt(max(0, entropy({k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}) - (entropy(p) + entropy(q)) / 2)) if p else 0.0
+
+    words, chars = {}, {}
+    for r in rows:
+        words.setdefault(r.lang, Counter()).update(words_of(r.text))
+        chars.setdefault(r.lang, Counter()).update(classes(r.text))
+    common = {lang: {w for w, n in c.items() if n >= c.total() / 400} for lang, c in words.items()}
+    assert all(c.total() >= quality.LEAST for c in words.values()) and all(common.values())
+    fold = lambda lang, c: Counter({w: c[w] for w in common[lang] & c.keys()} | {"(rest)": sum(n for w, n in c.items() if w not in common[lang])})
+    refs = {lang: fold(lang, c) for lang, c in words.items()}
+    got = {r.doc_id: r for r in entry.QUERIES["op10_quality_rules"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        g, w = got[r.doc_id], words_of(r.text)
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == base(r.text)[:5]
+        a, b = js(classes(r.text), chars[r.lang]), js(fold(r.lang, Counter(w)), refs[r.lang]) if w else 0.0
+        assert g.char_distance == pytest.approx(a, abs=1e-6) and g.word_distance == pytest.approx(b, abs=1e-6)
+        failed = len(w) < 20 or 100 * g.n_repeat_words > 30 * len(w)
+        far = (len(r.text or "") >= 200 and a > quality.CHAR_LIMIT) or (len(w) >= 50 and b > quality.WORD_LIMIT)
+        assert g.base_failed == failed and g.kept == (not failed and not far)
+
+
+def test_classes_of_all_planes():
+    table = quality.char_classes()
+    for c in "a A Ж 中 \u0301 5 \U00030000 \U00020000 \U0001f642 \ue000 \U000e0001".split(" "):
+        kind = unicodedata.category(c)
+        want = {"Ll": "lower", "Lu": "upper"}.get(kind) or {"L": "letter", "M": "mark", "N": "digit", "S": "symbol"}.get(kind[0], "other")
+        assert quality.CLASSES[table[ord(c)]] == want
+
+
 def test_every_language_has_references(spark, monkeypatch):
     rng = random.Random(8)
     pools = {x: [f"{x}{w}" for w in [f"often{i}" for i in range(40)] * 15 + [f"word{i}" for i in range(400)]] for x in ("en", "de", "xx", "yy", "rare")}
