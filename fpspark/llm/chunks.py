@@ -73,7 +73,7 @@ class Store:
     ``asked`` and ``missed`` count the distinct chunks of all look-ups.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cap: int = 300_000, most: int = 8 << 20):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cap: int = 400_000, most: int = 12 << 20):
         """encode: the numbers of ids of each of a list of chunks, and all ids."""
         self.encode, self.cap, self.most = encode, cap, most
         self.asked = self.missed = 0

@@ -226,8 +226,8 @@ def token(spark: SparkSession, path: str, place: int) -> int:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """What the files in ``path`` hold, a row per document.
 
-    doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and by
-    access to single places first_id and last_id.
+    doc_id, start (ids of all documents before it), n_tokens, ids_crc32, and
+    last_id, by access to its single place.
     """
     prepare(spark)
     starts = spark.read.parquet(f"{path}/manifest").select("shard", "number", "segment_start")
@@ -238,11 +238,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 segment = Segment(data)
                 crcs = [zlib.crc32(segment.range(a, b).astype("<u4").tobytes()) for a, b in zip(places[:-1], places[1:], strict=True)]
                 at = np.array(places, np.int64)
-                ends = [[segment[a] for a in places[:-1]], [segment[b - 1] for b in places[1:]]]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + at[:-1]), pa.array(np.diff(at)), pa.array(crcs, pa.int64()), *(pa.array(x, pa.int64()) for x in ends)], names=NAMES)
+                last = [segment[b - 1] for b in places[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + at[:-1]), pa.array(np.diff(at)), pa.array(crcs, pa.int64()), pa.array(last, pa.int64())], names=NAMES)
 
     segments = spark.read.parquet(f"{path}/segments").select("shard", "number", "doc_ids", "places", "data")
     return segments.join(starts, ["shard", "number"]).select("doc_ids", "places", "data", "segment_start").mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in NAMES]))
 
 
-NAMES = ["doc_id", "start", "n_tokens", "ids_crc32", "first_id", "last_id"]
+NAMES = ["doc_id", "start", "n_tokens", "ids_crc32", "last_id"]

@@ -120,12 +120,12 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, run: int = RUN) -> DataF
     prints = scratch.keep(_fingerprints(docs, run), "fingerprints")
     several = scratch.keep(prints.groupBy("print").agg(F.count("*").alias("n")).filter("n > 1").select("print"), "several")
     own = prints.filter(F.size("windows") > 1).select(F.explode("windows").alias("w"), "id", "text_hash")  # may repeat within its own windows
-    met = prints.filter(F.size("windows") == 1).join(several, "print", "left_semi").select(F.explode("windows").alias("w"), "id", "text_hash")
+    met = prints.filter(F.size("windows") == 1).join(several.hint("merge"), "print", "left_semi").select(F.explode("windows").alias("w"), "id", "text_hash")
     places = own.union(met).select("w.content", "w.check", "id", "text_hash", F.col("w.from").alias("from"), F.col("w.to").alias("to"))
     places = scratch.keep(places, "windows")
     first = places.groupBy("content", "check").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "from")).alias("first")).filter("n > 1").select("content", "check", "first")
     first = scratch.keep(first, "first")
-    later = places.join(first, ["content", "check"]).filter(F.struct("id", "text_hash", "from") > F.col("first"))
+    later = places.join(first.hint("merge"), ["content", "check"]).filter(F.struct("id", "text_hash", "from") > F.col("first"))
     return later.select("id", "text_hash", "from", "to")
 
 
@@ -151,7 +151,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     scratch.drop()
     # The row is one column while it meets its spans: no name of it can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), key[0].alias("_id"), key[1].alias("_hash"))
-    joined = rows.join(spans, ["_id", "_hash"], "left").select("row", "_spans").select("row.*", F.col("_spans").alias("_spans"))
+    joined = rows.join(spans.hint("merge"), ["_id", "_hash"], "left").select("row", "_spans").select("row.*", F.col("_spans").alias("_spans"))
     at, spans_at = kept.index("text"), len(kept)
 
     def cut(batches):
