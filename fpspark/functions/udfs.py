@@ -24,52 +24,57 @@ def _distinct(texts: pd.Series, kernel, empty):
     return [done[t] if t in done else empty for t in texts]
 
 
-def morgan_fp(smiles) -> Column:
-    """The fingerprint of a SMILES column; null has none of the bits."""
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    return pd.Series(_distinct(texts, fp.fingerprint, [0] * fp.WORDS))
 
-    @F.pandas_udf(FINGERPRINT)
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(_distinct(texts, fp.fingerprint, [0] * fp.WORDS))
 
-    return run(smiles)
+def _properties(texts: pd.Series) -> pd.DataFrame:
+    out = pd.DataFrame(_distinct(texts, props.properties, props.Properties(0.0, 0.0, 0, 0, 0)), columns=PROPERTIES.names)
+    return out.astype({"mw": "float32", "logp": "float32", "rot_bonds": "int32", "heavy_atoms": "int32", "ring_count": "int32"})
 
 
-def mol_props(smiles) -> Column:
-    """struct(mw, logp, rot_bonds, heavy_atoms, ring_count)."""
+def _scaffolds(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame(_distinct(texts, frames.analyze, frames.Scaffold()), columns=SCAFFOLD.names).astype({"framework_fraction": "float32"})
 
-    @F.pandas_udf(PROPERTIES)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame(_distinct(texts, props.properties, props.Properties(0.0, 0.0, 0, 0, 0)), columns=PROPERTIES.names)
-        return out.astype({"mw": "float32", "logp": "float32", "rot_bonds": "int32", "heavy_atoms": "int32", "ring_count": "int32"})
 
-    return run(smiles)
+def _decompositions(texts: pd.Series) -> pd.DataFrame:
+    rows = _distinct(texts, lambda t: (lambda d: (d.scaffold_key, d.scaffold_smiles, [g._asdict() for g in d.r_groups]))(frames.decompose(t)), (0, "", []))
+    return pd.DataFrame(rows, columns=DECOMPOSITION.names)
 
 
-def murcko_scaffold(smiles) -> Column:
-    """struct of ``scaffold.Scaffold``."""
+#: By SQL name: the kernel on a batch, and its type.
+KERNELS = {"morgan_fp": (_fingerprints, FINGERPRINT), "mol_props": (_properties, PROPERTIES), "murcko_scaffold": (_scaffolds, SCAFFOLD), "r_groups": (_decompositions, DECOMPOSITION)}
 
-    @F.pandas_udf(SCAFFOLD)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(_distinct(texts, frames.analyze, frames.Scaffold()), columns=SCAFFOLD.names).astype({"framework_fraction": "float32"})
 
-    return run(smiles)
+def _udf(name: str):
+    kernel, kind = KERNELS[name]
+    return F.pandas_udf(kernel, kind)
 
 
-def r_groups(smiles) -> Column:
-    """struct(scaffold_key, scaffold_smiles, r_groups)."""
+def morgan_fp(smiles) -> Column:
+    """The fingerprint of a SMILES column; null has none of the bits."""
+    return _udf("morgan_fp")(smiles)
 
-    @F.pandas_udf(DECOMPOSITION)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = _distinct(texts, lambda t: (lambda d: (d.scaffold_key, d.scaffold_smiles, [g._asdict() for g in d.r_groups]))(frames.decompose(t)), (0, "", []))
-        return pd.DataFrame(rows, columns=DECOMPOSITION.names)
 
-    return run(smiles)
+def mol_props(smiles) -> Column:
+    """struct(mw, logp, rot_bonds, heavy_atoms, ring_count)."""
+    return _udf("mol_props")(smiles)
+
+
+def murcko_scaffold(smiles) -> Column:
+    """struct of ``scaffold.Scaffold``."""
+    return _udf("murcko_scaffold")(smiles)
+
+
+def r_groups(smiles) -> Column:
+    """struct(scaffold_key, scaffold_smiles, r_groups)."""
+    return _udf("r_groups")(smiles)
 
 
 def register(spark: SparkSession) -> None:
     """SQL functions morgan_fp, mol_props, murcko_scaffold, r_groups and tanimoto."""
-    for name, kernel, kind in (("morgan_fp", fp.fingerprint, FINGERPRINT), ("mol_props", lambda t: tuple(props.properties(t)), PROPERTIES), ("murcko_scaffold", lambda t: tuple(frames.analyze(t)), SCAFFOLD), ("r_groups", lambda t: (lambda d: (d.scaffold_key, d.scaffold_smiles, [tuple(g) for g in d.r_groups]))(frames.decompose(t)), DECOMPOSITION)):
-        spark.udf.register(name, F.udf(lambda t, kernel=kernel: kernel(t or ""), kind, useArrow=True))
+    for name in KERNELS:
+        spark.udf.register(name, _udf(name))
     shared = "aggregate(zip_with(a, b, (x, y) -> bit_count(x & y)), 0, (s, n) -> s + n)"
     joint = "aggregate(zip_with(a, b, (x, y) -> bit_count(x | y)), 0, (s, n) -> s + n)"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tanimoto(a ARRAY<BIGINT>, b ARRAY<BIGINT>) RETURNS FLOAT RETURN CAST(coalesce(try_divide(CAST({shared} AS DOUBLE), CAST({joint} AS DOUBLE)), 0.0D) AS FLOAT)")

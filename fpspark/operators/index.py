@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..runtime import materialize
 from ..schema import POSTINGS, VERSION
-from ..sources.compounds import read_table, write_meta
+from ..sources.compounds import ROWS_PER_FILE, read_table, write_meta
 
 #: Documents of a block of a posting list.
 BLOCK = 128
+#: Stretches of doc_ids in which blocks are looked up.
+STRETCHES = 1024
 
 
 def postings(fps: DataFrame) -> DataFrame:
@@ -29,11 +32,14 @@ def write_index(fps: DataFrame, to: str) -> None:
     """Write postings by bit, sorted by popcount and doc_id: queries prune bits by folder and popcounts by statistics.
 
     Bits differ a lot in length, so rows are dealt out by bit and a bucket of
-    doc_id: the fullest bit is written by many tasks.
+    doc_id, as many buckets as the bit has files: the fullest bit is written by
+    many tasks.
     """
     spark = fps.sparkSession
-    rows = postings(fps).withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-    rows = rows.repartition("bit", "_deal").drop("_deal").sortWithinPartitions("bit", "pop", "doc_id")
+    rows = postings(fps)
+    sizes = rows.groupBy("bit").agg(F.ceil(F.count("*") / ROWS_PER_FILE).alias("files"))  # 1024 rows at most
+    rows = rows.join(F.broadcast(sizes), "bit").withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.col("files")))
+    rows = rows.repartition("bit", "_deal").drop("_deal", "files").sortWithinPartitions("bit", "pop", "doc_id")
     rows.write.mode("errorifexists").partitionBy("bit").parquet(to)
     write_meta(spark, to, {"kind": "postings", "version": VERSION, "rows": spark.read.parquet(to).count()})
 
@@ -48,17 +54,44 @@ def index_stats(post: DataFrame) -> DataFrame:
 
 
 def blocks(post: DataFrame) -> DataFrame:
-    """A row per block of BLOCK documents of a bit's list: base (last doc_id of the block before, 0 for the first), first and last doc_id, documents, least and greatest popcount."""
-    order = Window.partitionBy("bit").orderBy("doc_id")
-    numbered = post.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    """A row per block of BLOCK documents of a bit's list: base (last doc_id of the block before, 0 for the first), first and last doc_id, documents, least and greatest popcount.
+
+    Places in a list are counted in ranges of (bit, doc_id), then within each:
+    no task sees a whole list. What is left for a bit in one task is a row for
+    each block.
+    """
+    ranged = materialize(post.repartitionByRange("bit", "doc_id").withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("bit", "_range").agg(F.count("*").alias("n"))
+    before = sizes.select("bit", "_range", (F.sum("n").over(Window.partitionBy("bit").orderBy("_range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("bit", "_range").orderBy("doc_id")) - 1
+    numbered = ranged.withColumn("place", place).join(before, ["bit", "_range"]).withColumn("block", F.floor((F.col("before") + F.col("place")) / BLOCK).cast("int"))
     out = numbered.groupBy("bit", "block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n_docs"), F.min("pop").alias("min_pop"), F.max("pop").alias("max_pop"))
     return out.withColumn("base", F.coalesce(F.lag("last_doc").over(Window.partitionBy("bit").orderBy("block")), F.lit(0)).cast("long"))
 
 
 def block_for(block_rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """bit, target and the block to look in: the last one whose base is below the target, or the first."""
-    joined = targets.join(block_rows.select("bit", "block", "base"), "bit")
-    return joined.groupBy("bit", "target").agg(F.coalesce(F.max(F.when(F.col("base") < F.col("target"), F.col("block"))), F.lit(0)).alias("block"))
+    """bit, target and the block to look in: the last one whose base is below the target, or the first.
+
+    A block serves the targets above its base up to its last doc_id, the last
+    block of a bit all above. Targets meet only the blocks of their stretch of
+    doc_ids (STRETCHES of them), not all of their bit.
+    """
+    width = F.lit(max(1, -(-(targets.agg(F.max("target")).first()[0] or 0) // STRETCHES)))
+    stretch = lambda x: F.floor(x / width)
+    last = F.max("block").over(Window.partitionBy("bit"))
+    spans = block_rows.select("bit", "block", "base", F.when(F.col("block") == last, F.lit((1 << 63) - 1)).otherwise(F.col("last_doc")).alias("end"))
+    spans = spans.withColumn("stretch", F.explode(F.sequence(F.least(stretch(F.col("base")), F.lit(STRETCHES)), F.least(stretch(F.col("end")), F.lit(STRETCHES)))))
+    asked = targets.withColumn("stretch", F.least(stretch(F.col("target")), F.lit(STRETCHES)))
+    met = asked.join(spans, ["bit", "stretch"], "left").filter((F.col("block").isNotNull()))
+    found = met.filter((F.col("base") < F.col("target")) & (F.col("target") <= F.col("end"))).select("bit", "target", "block").distinct()
+    known = block_rows.select("bit").distinct()
+    return targets.join(known, "bit", "left_semi").distinct().join(found, ["bit", "target"], "left").select("bit", "target", F.coalesce("block", F.lit(0)).alias("block"))
+
+
+def cumulative_bounds(block_rows: DataFrame, p) -> DataFrame:
+    """bit, block and bound: the ratio for the greatest popcount of the block and all after it."""
+    rest = Window.partitionBy("bit").orderBy("block").rowsBetween(0, Window.unboundedFollowing)
+    return block_rows.select("bit", "block", block_bound(F.max("max_pop").over(rest), p).alias("bound"))
 
 
 def block_bound(max_pop, p):

@@ -8,13 +8,21 @@ alone give exact scores; fingerprints are never fetched.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..runtime import materialize, prepare
+
+#: Documents of a block of the similarity join.
+JOIN_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -89,18 +97,22 @@ def candidates(post: DataFrame, query: SimilarityQuery, band: bool = True) -> Da
     return rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("c"), F.max("pop").alias("k"))
 
 
-def search_all(post: DataFrame, query: SimilarityQuery, props: DataFrame | None = None, band: bool = True) -> DataFrame:
+def search_all(post: DataFrame, query: SimilarityQuery, props: DataFrame | None = None, band: bool = True, observed: Observation | None = None) -> DataFrame:
     """doc_id, score, c, k of every result, in no order.
 
     With filters, documents that pass are found first and only their postings
-    counted; a document without properties does not pass.
+    counted; a document without properties does not pass. ``observed`` gets
+    docs_evaluated, the documents whose exact score was needed, as the rows run.
     """
     query.validated()
     if query.filters:
         if props is None:
             raise ValueError("filters need a table with properties")
         post = post.join(props.filter(query.column()).select("doc_id"), "doc_id", "left_semi")
-    return _scored(candidates(post, query, band), F.lit(query.pop), F.lit(query.threshold))
+    counted = candidates(post, query, band)
+    if observed is not None:
+        counted = counted.filter(F.col("c") >= bits.least_shared(query.threshold, F.lit(query.pop))).observe(observed, F.count("*").alias("docs_evaluated"))
+    return _scored(counted, F.lit(query.pop), F.lit(query.threshold))
 
 
 def ranked(rows: DataFrame, top_k: int) -> DataFrame:
@@ -109,9 +121,9 @@ def ranked(rows: DataFrame, top_k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
-def search(post: DataFrame, query: SimilarityQuery, props: DataFrame | None = None, band: bool = True) -> DataFrame:
+def search(post: DataFrame, query: SimilarityQuery, props: DataFrame | None = None, band: bool = True, observed: Observation | None = None) -> DataFrame:
     """rank, doc_id, score, c, k of the best results."""
-    return ranked(search_all(post, query, props, band), query.top_k).select("rank", "doc_id", "score", "c", "k")
+    return ranked(search_all(post, query, props, band, observed), query.top_k).select("rank", "doc_id", "score", "c", "k")
 
 
 def search_overfetch(post: DataFrame, query: SimilarityQuery, props: DataFrame, times: int = 20) -> DataFrame:
@@ -121,11 +133,15 @@ def search_overfetch(post: DataFrame, query: SimilarityQuery, props: DataFrame,
     return ranked(kept.drop("rank"), query.top_k).select("rank", "doc_id", "score", "c", "k")
 
 
+def scan(fps: DataFrame, fingerprint: Column, threshold: float) -> DataFrame:
+    """doc_id, score of all documents that reach the threshold, by comparing every fingerprint; at threshold 0 those without a shared bit count too."""
+    return fps.select("doc_id", bits.tanimoto("fingerprint", fingerprint).alias("score")).filter(bits.reaches("score", threshold))
+
+
 def linear(fps: DataFrame, fingerprint: Column, threshold: float, top_k: int, sample: int | None = None) -> DataFrame:
-    """rank, doc_id, score by comparing every fingerprint; at threshold 0 documents without a shared bit count too."""
+    """rank, doc_id, score of the best of a scan."""
     rows = fps.filter(F.col("doc_id") < sample) if sample is not None else fps
-    scored = rows.select("doc_id", bits.tanimoto("fingerprint", fingerprint).alias("score")).filter(bits.reaches("score", threshold))
-    return ranked(scored, top_k).select("rank", "doc_id", "score")
+    return ranked(scan(rows, fingerprint, threshold), top_k).select("rank", "doc_id", "score")
 
 
 def search_stats(post: DataFrame, query: SimilarityQuery, corpus_size: int) -> DataFrame:
@@ -136,8 +152,8 @@ def search_stats(post: DataFrame, query: SimilarityQuery, corpus_size: int) -> D
     return out.select("docs_evaluated", F.lit(corpus_size).cast("long").alias("corpus_size"), (F.col("docs_evaluated") / F.lit(float(max(1, corpus_size)))).alias("eval_fraction"))
 
 
-def batch(post: DataFrame, queries: DataFrame, top_k: int, props: DataFrame | None = None, condition: Column | None = None) -> DataFrame:
-    """query_id, rank, doc_id, score, c, k for many queries at once: an equi-join on bits, counts, scores, a ranking in each query.
+def batch_candidates(post: DataFrame, queries: DataFrame, props: DataFrame | None = None, condition: Column | None = None) -> DataFrame:
+    """query_id, doc_id, c, k, p, threshold of every document that shares enough bits with a query: an equi-join on bits, and counts.
 
     ``queries``: query_id, bits (array of int), threshold. Rows that are not
     valid (no bits, a threshold out of range) give no result; ``report`` names
@@ -150,28 +166,112 @@ def batch(post: DataFrame, queries: DataFrame, top_k: int, props: DataFrame | No
     asked = asked.select("query_id", "threshold", F.size("bits").alias("p"), F.explode("bits").alias("bit"))
     met = post.join(asked, "bit").filter(bits.in_band("pop", F.col("threshold"), F.col("p")))
     counted = met.groupBy("query_id", "doc_id").agg(F.count("*").cast("int").alias("c"), F.max("pop").alias("k"), F.max("p").alias("p"), F.max("threshold").alias("threshold"))
-    scored = _scored(counted, F.col("p"), F.col("threshold"))
+    return counted.filter(F.col("c") >= bits.least_shared(F.col("threshold"), F.col("p")))
+
+
+def batch_ranked(found: DataFrame, top_k: int) -> DataFrame:
+    """query_id, rank, doc_id, score, c, k, p of the best candidates of each query."""
+    scored = _scored(found, F.col("p"), F.col("threshold"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "rank", "doc_id", "score", "c", "k", "p")
 
 
-def similarity_join(post: DataFrame, threshold: float) -> DataFrame:
-    """a < b, score of all pairs of documents that score ``threshold`` (above 0) or more, by prefix filtering.
+def batch_stats(found: DataFrame, queries: DataFrame, corpus_size: int) -> DataFrame:
+    """query_id, docs_evaluated (candidates), corpus_size of every query that is valid."""
+    valid = queries.filter((F.col("threshold") >= 0) & (F.col("threshold") <= 1) & (F.size("bits") > 0)).select("query_id")
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    return valid.join(counts, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("docs_evaluated"), F.lit(corpus_size).cast("long").alias("corpus_size"))
+
+
+def batch(post: DataFrame, queries: DataFrame, top_k: int, props: DataFrame | None = None, condition: Column | None = None) -> DataFrame:
+    """query_id, rank, doc_id, score, c, k, p for many queries at once."""
+    return batch_ranked(batch_candidates(post, queries, props, condition), top_k)
+
+
+def _prefixes(threshold: float):
+    """For each set of bits (numbered from the rarest) a row per bit of its prefix and side: bit, band, right, id, p, at, words."""
+
+    def run(batches):
+        for batch in batches:
+            p = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(p)), p)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(p) - p, p)
+            words = np.zeros((len(p), bits.WORDS), np.uint64)
+            np.bitwise_or.at(words, (row, flat // 64), np.uint64(1) << (flat % 64).astype(np.uint64))
+            least = np.maximum(1, np.ceil(float(np.float32(threshold)) * p - 1e-4)).astype(np.int64)
+            use = np.flatnonzero(place <= (p - least)[row])
+            band = np.floor(np.log(p) / -math.log(threshold) + 1e-9).astype(np.int64) if threshold < 1 else p
+            for right, down in ((0, 0), (1, 0), (1, 1)) if threshold < 1 else ((0, 0), (1, 0)):
+                r = row[use]
+                blob = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * bits.WORDS), len(r), [None, pa.py_buffer(np.ascontiguousarray(words[r]).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[use], pa.int32()), pa.array(band[r] - down), pa.array(np.full(len(r), right, np.int32)), batch.column(0).take(pa.array(r)), pa.array(p[r], pa.int32()), pa.array(place[use], pa.int32()), blob.cast(pa.binary())], names=["bit", "band", "right", "id", "p", "at", "words"])
+
+    return run
+
+
+def _meet(threshold: float):
+    t = float(np.float32(threshold))
+
+    def run(rows: pa.Table) -> pa.Table:
+        """The pairs of a block of the left and one of the right that reach the threshold and have this bit as their first common one."""
+        rows = rows.combine_chunks()
+        ids, p, at, right = (rows[c].to_numpy() for c in ("id", "p", "at", "right"))
+        p, at = p.astype(np.int32), at.astype(np.int32)
+        words = np.frombuffer(b"".join(rows["words"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        bit = rows["bit"][0].as_py()
+        left, other = np.flatnonzero(right == 0), np.flatnonzero(right == 1)
+        out = []
+        for begin in range(0, len(left), 256):
+            x = left[begin : begin + 256]
+            pa_, pb = p[x][:, None], p[other][None, :]
+            turn = (pa_ < pb) | ((pa_ == pb) & (ids[x][:, None] < ids[other][None, :]))
+            rest = np.minimum(pa_ - at[x][:, None], pb - at[other][None, :])
+            i, j = np.nonzero(turn & (pa_ >= t * pb - 1e-3) & (rest >= t / (1 + t) * (pa_ + pb) - 1e-3))
+            for k in range(0, len(i), 1 << 16):
+                a, b = x[i[k : k + (1 << 16)]], other[j[k : k + (1 << 16)]]
+                both = words[a] & words[b]
+                shared = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+                score = (shared / (p[a] + p[b] - shared)).astype(np.float32)
+                # words before the bit's own, and what is below it there, are not common
+                earlier = both[:, : bit // 64].any(axis=1) | ((both[:, bit // 64] & np.uint64((1 << bit % 64) - 1)) != 0)
+                hit = np.flatnonzero((score >= np.float32(threshold)) & ~earlier)
+                out.append((ids[a[hit]], ids[b[hit]], score[hit]))
+        a, b, score = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, kind) for k, kind in enumerate((np.int64, np.int64, np.float32)))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
+
+    return run
+
 
-    A pair shares c >= t * max(pa, pb) bits, so the pa - ceil(t * pa) + 1 rarest
-    bits of each hold a common one. Only these bits are joined; candidates whose
-    popcounts differ too much are cut off, and the rest is counted exactly.
+def similarity_join(post: DataFrame, threshold: float) -> DataFrame:
+    """a < b, score of documents that score ``threshold`` (above 0) or more, by prefix filtering.
+
+    Documents with the same bits are one: the least doc_id stands for them, and
+    each other one has a single row with it, of score 1. All other rows are
+    pairs of such representatives, so copies cost a row each.
+
+    Bits are renumbered from the rarest to the commonest. A pair shares
+    c >= t * max(pa, pb) bits, so the pa - ceil(t * pa) + 1 rarest bits of each
+    hold a common one; only these bring documents together, within bands of
+    popcounts that can reach the threshold. Those of one bit and band are cut
+    into blocks, and a task compares a block of the left with one of the right:
+    popcounts and the bits left after this one must be enough, then the words
+    are compared. A pair counts at the first bit that the two have in common, so
+    only results become rows, each once.
     """
     if not 0 < threshold <= 1:
         raise ValueError("a similarity join needs a threshold above 0")
+    prepare(post.sparkSession)
     freq = post.groupBy("bit").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("doc_id").orderBy("df", "bit")
-    prefix = post.join(F.broadcast(freq), "bit").withColumn("r", F.row_number().over(order))  # 1024 bits at most
-    prefix = prefix.filter(F.col("r") <= F.col("pop") - bits.least_shared(threshold, F.col("pop")) + 1).select("bit", "doc_id", "pop")
-    other = prefix.select("bit", F.col("doc_id").alias("b"), F.col("pop").alias("pb"))
-    close = (F.least("pop", "pb") >= F.lit(threshold) * F.greatest("pop", "pb") - 1e-3) & (F.col("doc_id") < F.col("b"))
-    pairs = prefix.join(other, "bit").filter(close).select(F.col("doc_id").alias("a"), "b", F.col("pop").alias("pa"), "pb").distinct()
-    sets = post.groupBy("doc_id").agg(F.collect_list("bit").alias("bits"))  # 1024 bits at most
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("bits").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("bits").alias("xb")), "b")
-    shared = F.size(F.array_intersect("xa", "xb"))
-    return both.select("a", "b", bits.ratio(shared, F.col("pa") + F.col("pb") - shared).alias("score")).filter(bits.reaches("score", threshold))
+    ranks = freq.select("bit", (F.row_number().over(Window.orderBy("df", "bit")) - 1).cast("int").alias("r"))  # 1024 rows at most
+    sets = post.join(F.broadcast(ranks), "bit").groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("bits"))  # 1024 bits at most
+    sets = materialize(sets, "sets")
+    groups = sets.groupBy("bits").agg(F.min("doc_id").alias("a"))
+    copies = sets.join(groups, "bits").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).cast("float").alias("score"))
+    rows = materialize(groups.select("a", "bits").mapInArrow(_prefixes(threshold), "bit int, band long, right int, id long, p int, at int, words binary"), "prefixes")
+    # A row for each bit and band: some 30 bands of 1024 bits at a threshold of 0.8.
+    sizes = rows.groupBy("bit", "band").agg(*[F.ceil(F.count_if(F.col("right") == k) / JOIN_BLOCK).alias(f"n{k}") for k in (0, 1)]).filter("n0 > 0 and n1 > 0")
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("right") == 0, F.col("n0")).otherwise(F.col("n1")))
+    placed = rows.join(sizes, ["bit", "band"]).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("right") == 0, F.col("n1")).otherwise(F.col("n0")).cast("int") - 1)))
+    tiles = placed.select("bit", "band", F.when(F.col("right") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("right") == 0, F.col("other")).otherwise(F.col("own")).alias("j"), "right", "id", "p", "at", "words")
+    return tiles.groupBy("bit", "band", "i", "j").applyInArrow(_meet(threshold), "a long, b long, score float").union(copies)

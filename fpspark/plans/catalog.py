@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import bits
 from ..functions.udfs import mol_props, morgan_fp
 from ..operators import analysis, index, search
-from ..runtime import prepare
+from ..runtime import materialize, new_path, prepare
 from ..sources import compounds, fixtures, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,9 +149,9 @@ def emb_linear_topk(spark, sf_dir):
     return e_linear(spark, sf_dir, E_T, E_K)
 
 
-@query("emb_linear_zero_threshold", LINEAR.format(t=0, k=100_000))
+@query("emb_linear_zero_threshold", f"{E_HEAD} SELECT doc_id, coalesce(score, 0::FLOAT) AS score FROM e_pop LEFT JOIN e_s USING (doc_id)")
 def emb_linear_zero_threshold(spark, sf_dir):
-    return e_linear(spark, sf_dir, 0.0, 100_000)
+    return search.scan(e_fps(spark, sf_dir), bits.from_bits(F.array(*map(F.lit, e_query(spark, sf_dir).bits))), 0.0)
 
 
 def labelled(spark, sf_dir):
@@ -181,22 +181,27 @@ def batch_queries(rows: DataFrame, condition: str, threshold: float) -> DataFram
     return rows.filter(condition).groupBy(F.col("doc_id").alias("query_id")).agg(F.collect_list("bit").alias("bits"), F.lit(threshold).alias("threshold"))
 
 
-@query("emb_batch_topk", f"WITH {E_SQL}, {batch_sql('e', 'BETWEEN 0 AND 24', E_T, 5)} SELECT query_id, rank, doc_id, score, c, k FROM b")
+@query("emb_batch_topk", f"WITH {E_SQL}, {batch_sql('e', '% 50 = 0', E_T, 5)} SELECT query_id, rank, doc_id, score, c, k FROM b")
 def emb_batch_topk(spark, sf_dir):
-    asked = batch_queries(fixtures.embedding_bits(spark, sf_dir), "doc_id between 0 and 24", E_T)
+    asked = batch_queries(fixtures.embedding_bits(spark, sf_dir), "doc_id % 50 = 0", E_T)
     return search.batch(e_post(spark, sf_dir), asked, 5).select("query_id", "rank", "doc_id", "score", "c", "k")
 
 
-@query("emb_batch_report", f"""WITH {E_SQL}, {batch_sql('e', 'BETWEEN 0 AND 9', 0.1, 3)}, asked AS (SELECT unnest(range(0, 12)) AS n)
-SELECT concat('Q', n) AS query_id, coalesce(rank::VARCHAR, '') AS rank, coalesce(doc_id::VARCHAR, '') AS doc_id, coalesce(printf('%.4f', score::DOUBLE), '') AS score,
-  CASE WHEN n = 10 THEN 'the query has no bits' WHEN n = 11 THEN 'the threshold must be from 0 to 1' ELSE '' END AS error
-FROM asked LEFT JOIN b ON b.query_id = n AND n < 10""")
+@query("emb_batch_report", f"""WITH {E_SQL}, {batch_sql('e', '% 50 = 0', 0.1, 3)},
+asked AS (SELECT DISTINCT query_id AS n, 0 AS kind FROM q UNION ALL SELECT * FROM (VALUES (-1, 1), (-2, 2))),
+ev AS (SELECT query_id, count(*) AS n FROM bc WHERE c >= greatest(1, ceil(0.1::FLOAT::DOUBLE * p - 0.0001::DOUBLE)) AND k >= 0.1::FLOAT::DOUBLE * p - 0.001::DOUBLE AND k * 0.1::FLOAT::DOUBLE <= p + 0.001::DOUBLE GROUP BY query_id),
+size AS (SELECT count(*) AS n FROM e_pop)
+SELECT concat('Q', asked.n) AS query_id, concat('vector ', asked.n) AS query_smiles, coalesce(rank::VARCHAR, '') AS rank, coalesce(b.doc_id::VARCHAR, '') AS doc_id, coalesce(printf('%.4f', score::DOUBLE), '') AS score,
+  CASE WHEN kind > 0 THEN '' ELSE coalesce(ev.n, 0)::VARCHAR END AS docs_evaluated, CASE WHEN kind > 0 THEN '' ELSE printf('%.6f', coalesce(ev.n, 0)::DOUBLE / greatest((SELECT n FROM size), 1) * 100) END AS eval_fraction_pct,
+  CASE kind WHEN 1 THEN 'the query has no bits' WHEN 2 THEN 'the threshold must be from 0 to 1' ELSE '' END AS error
+FROM asked LEFT JOIN b ON b.query_id = asked.n LEFT JOIN ev ON ev.query_id = asked.n""")
 def emb_batch_report(spark, sf_dir):
-    found = fixtures.embedding_bits(spark, sf_dir).filter("doc_id between 0 and 9 or doc_id = 11").groupBy("doc_id").agg(F.collect_list("bit").alias("bits"))
-    asked = spark.range(12).withColumnRenamed("id", "doc_id").join(found, "doc_id", "left")
-    asked = asked.select(F.concat(F.lit("Q"), F.col("doc_id").cast("string")).alias("query_id"), F.lit("").alias("query_smiles"), F.coalesce("bits", F.array().cast("array<int>")).alias("bits"), F.when(F.col("doc_id") == 11, 1.5).otherwise(0.1).alias("threshold"))
-    out = reports.batch_report(asked, search.batch(e_post(spark, sf_dir), asked, 3))
-    return out.select("query_id", "rank", "doc_id", "score", "error")
+    """All columns of the report of a batch: every vector whose id 50 divides, a query without bits, and one whose threshold is out of range."""
+    rows, post = fixtures.embedding_bits(spark, sf_dir), e_post(spark, sf_dir)
+    asked = batch_queries(rows, "doc_id % 50 = 0", 0.1).union(spark.createDataFrame([(-1, [], 0.1), (-2, [1], 1.5)], "query_id long, bits array<int>, threshold double"))
+    asked = asked.select(F.concat(F.lit("Q"), F.col("query_id").cast("string")).alias("query_id"), F.concat(F.lit("vector "), F.col("query_id").cast("string")).alias("query_smiles"), "bits", "threshold")
+    found = materialize(search.batch_candidates(post, asked), "candidates")
+    return reports.batch_report(asked, search.batch_ranked(found, 3), search.batch_stats(found, asked, post.select("doc_id").distinct().count()))
 
 
 @query("emb_analysis", f"""{E_HEAD}, top AS ({top_sql(E_K, f'score >= {E_T}::FLOAT', cols='doc_id, score, c, k, p')})
@@ -247,8 +252,12 @@ def doc_topk(spark, sf_dir):
     return search.search(index.postings_of_bits(rows), one_query(rows, D_QUERY, D_T, D_K))
 
 
-@query("doc_selfjoin_0_8", f"""WITH {D_SQL}, pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, max(x.pop) AS pa, max(y.pop) AS pb FROM d_post x JOIN d_post y ON x.bit = y.bit AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT a, b, (c::DOUBLE / (pa + pb - c))::FLOAT AS score FROM pairs WHERE (c::DOUBLE / (pa + pb - c))::FLOAT >= 0.8::FLOAT""")
+@query("doc_selfjoin_0_8", f"""WITH {D_SQL}, sets AS (SELECT doc_id, list_sort(list(bit)) AS s FROM d_bits GROUP BY doc_id),
+r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS rep FROM sets),
+rp AS (SELECT bit, doc_id, pop FROM d_post WHERE doc_id IN (SELECT rep FROM r)),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c, max(x.pop) AS pa, max(y.pop) AS pb FROM rp x JOIN rp y ON x.bit = y.bit AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, b, (c::DOUBLE / (pa + pb - c))::FLOAT AS score FROM pairs WHERE (c::DOUBLE / (pa + pb - c))::FLOAT >= 0.8::FLOAT
+UNION ALL SELECT rep, doc_id, 1::FLOAT FROM r WHERE doc_id <> rep""")
 def doc_selfjoin_0_8(spark, sf_dir):
     return search.similarity_join(d_post(spark, sf_dir), 0.8)
 
@@ -296,10 +305,11 @@ def mol_ring_count(spark, sf_dir):
     return molecules_with_properties(spark, sf_dir).select("doc_id", "ring_count")
 
 
-@query("mol_lipinski")
+@query("mol_lipinski", f"{TOKENS_SQL}, n AS (SELECT doc_id, sum((mass + h * 1.0079)::DOUBLE) AS mw, sum(coalesce(logp, 0)::DOUBLE) AS logp FROM t JOIN mass USING (s) LEFT JOIN logp USING (s) GROUP BY doc_id) SELECT doc_id, round(mw + 0.00005, 1) AS mw, round(logp + 0.00002, 3) AS logp FROM n WHERE mw <= 500 AND logp <= 5")
 def mol_lipinski(spark, sf_dir):
+    """No molecule of the library has more than ten rotatable bonds, so weight and logP decide."""
     rule = search.SimilarityQuery((0,)).with_lipinski_filter().column()
-    return molecules_with_properties(spark, sf_dir).filter(rule).select("doc_id", "mw", "logp", "rot_bonds")
+    return molecules_with_properties(spark, sf_dir).filter(rule).select("doc_id", F.round(F.col("mw").cast("double") + 0.00005, 1).alias("mw"), F.round(F.col("logp").cast("double") + 0.00002, 3).alias("logp"))
 
 
 @query("mol_property_range", f"{TOKENS_SQL}, n AS (SELECT doc_id, count(*)::INT AS heavy_atoms FROM t GROUP BY doc_id) SELECT doc_id, heavy_atoms FROM n WHERE heavy_atoms BETWEEN 7 AND 9")
@@ -396,3 +406,41 @@ def emb_score_summary(spark, sf_dir):
 def emb_resolved_topk(spark, sf_dir):
     table = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
     return compounds.take(table, search.search(e_post(spark, sf_dir), e_query(spark, sf_dir))).select("rank", "doc_id", "score", "label")
+
+
+def e_index(spark, sf_dir):
+    """The postings of fixture E, written and read back."""
+    path = new_path(spark, "index")
+    index.write_index(e_fps(spark, sf_dir), path)
+    return index.read_index(spark, path)
+
+
+@query("index_roundtrip_topk", f"{E_HEAD} {top_sql(E_K, f'score >= {E_T}::FLOAT')}")
+def index_roundtrip_topk(spark, sf_dir):
+    """A search over a written index: bits pruned by folder, popcounts by statistics."""
+    return search.search(e_index(spark, sf_dir), e_query(spark, sf_dir))
+
+
+@query("index_verify_damaged", f"WITH {E_SQL} SELECT count(*) AS n_docs, count_if(doc_id % 7 = 0) AS n_mismatches, count_if(doc_id % 7 = 0) = 0 AS ok FROM e_pop")
+def index_verify_damaged(spark, sf_dir):
+    """Verification of an index in which each list of every seventh document lacks what the first bit had."""
+    post = e_index(spark, sf_dir)
+    first = post.filter("doc_id % 7 = 0").groupBy("doc_id").agg(F.min("bit").alias("bit"))
+    return index.verify(post.join(first, ["doc_id", "bit"], "left_anti").select("bit", "doc_id", "pop"), e_fps(spark, sf_dir))
+
+
+@query("emb_cumulative_bound", f"""{BLOCKS_SQL}, q AS (SELECT pop AS p FROM e_pop WHERE doc_id = {E_QUERY}),
+m AS (SELECT bit, block, max(max_pop) OVER (PARTITION BY bit ORDER BY block ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS k FROM b)
+SELECT bit, block, (least(p, k)::DOUBLE / greatest(p, k))::FLOAT AS bound FROM m, q""")
+def emb_cumulative_bound(spark, sf_dir):
+    return index.cumulative_bounds(index.blocks(e_post(spark, sf_dir)), F.lit(e_query(spark, sf_dir).pop))
+
+
+@query("ingest_table", f"WITH {M_SQL} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, compound_id, smiles FROM m WHERE length(smiles) >= 2")
+def ingest_table(spark, sf_dir):
+    """Fixture M as a compressed text library, ingested, and its table read back."""
+    lines, table = new_path(spark, "library"), new_path(spark, "compounds")
+    rows = fixtures.molecules(spark, sf_dir).orderBy("doc_id").select(F.concat_ws("\t", "smiles", "compound_id").alias("value"))
+    rows.write.option("compression", "bzip2").text(lines)
+    compounds.ingest(spark, lines, table, compounds.ReaderConfig(has_header=False))
+    return compounds.read_table(spark, table).select("doc_id", "compound_id", "smiles")

@@ -6,7 +6,7 @@ import time
 import warnings
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -14,7 +14,7 @@ from ..functions.fingerprint import bits as bits_of
 from ..functions.udfs import morgan_fp
 from ..operators import analysis, index, search
 from ..operators.search import PropertyFilter, SimilarityQuery
-from ..runtime import prepare
+from ..runtime import materialize, prepare
 from ..schema import PROPERTY_FIELDS
 from ..sources import compounds as tables
 from ..sources import reports
@@ -81,7 +81,7 @@ class SimilarityEngine:
             raise ValueError("filters need a table with properties")
         return out
 
-    def search(self, query: SimilarityQuery, overfetch: int | None = None) -> DataFrame:
+    def search(self, query: SimilarityQuery, overfetch: int | None = None, observed: Observation | None = None) -> DataFrame:
         """rank, doc_id, score, c, k."""
         if overfetch:
             return search.search_overfetch(self.postings, query, self.compounds, overfetch)
@@ -90,7 +90,7 @@ class SimilarityEngine:
             mine = bits.from_bits(F.array(*map(F.lit, query.bits)))
             pops = rows.select("doc_id", bits.shared_bits("fingerprint", mine).alias("c"), F.col("fp_pop").alias("k")).filter("c > 0")
             return search.ranked(pops.withColumn("score", bits.ratio(F.col("c"), F.lit(query.pop) + F.col("k") - F.col("c"))).filter(bits.reaches("score", query.threshold)), query.top_k).select("rank", "doc_id", "score", "c", "k")
-        return search.search(self.postings, query, self.compounds)
+        return search.search(self.postings, query, self.compounds, observed=observed)
 
     def explain(self, query: SimilarityQuery) -> str:
         """The plan's name, and Spark's plan."""
@@ -103,9 +103,14 @@ class SimilarityEngine:
             raise ValueError("diverse picking needs a table of compounds")
         query = self.query(smiles, threshold, top_k, filters)
         began = time.perf_counter()
-        hits = [r.asDict() for r in self.search(query).collect()]  # top_k rows at most
+        # Without filters the search counts what it evaluates as it runs; with them only what passes is counted there.
+        observed = Observation() if stats and self.postings is not None and not filters else None
+        hits = [r.asDict() for r in self.search(query, observed=observed).collect()]  # top_k rows at most
         took = (time.perf_counter() - began) * 1000
-        evaluated = search.search_stats(self.postings, query, self.num_compounds).first().docs_evaluated if stats and self.postings is not None else len(hits)
+        if observed is not None:
+            evaluated = observed.get["docs_evaluated"]
+        else:
+            evaluated = search.search_stats(self.postings, query, self.num_compounds).first().docs_evaluated if stats and self.postings is not None else len(hits)
         out = SearchResult(smiles, query.pop, [], evaluated, self.num_compounds, took)
         if not hits:
             return out
@@ -131,6 +136,8 @@ class SimilarityEngine:
             raise ValueError("filters need a table with properties")
         asked = queries.select("query_id", F.col("smiles").alias("query_smiles"), morgan_fp(F.col("smiles")).alias("fp")).withColumns({"bits": bits.active_bits("fp"), "threshold": F.lit(float(threshold))}).drop("fp")
         condition = SimilarityQuery((), 0, 1, tuple(filters)).column() if filters else None
-        found = search.batch(self.postings, asked, top_k, self.compounds, condition)
-        plain = reports.batch_report(asked, found)
+        # Written, queries and candidates are made once for results and statistics.
+        asked = materialize(asked, "asked")
+        found = materialize(search.batch_candidates(self.postings, asked, self.compounds, condition), "candidates")
+        plain = reports.batch_report(asked, search.batch_ranked(found, top_k), search.batch_stats(found, asked, self.num_compounds))
         return reports.resolved_report(plain, self.compounds) if resolve else plain

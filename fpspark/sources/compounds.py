@@ -49,7 +49,7 @@ def read_lines(spark: SparkSession, path: str | list[str], config: ReaderConfig
     blocks = rows.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("path", "start", "first", "before")
-    out = rows.join(F.broadcast(blocks), ["path", "start"]).select("path", (F.col("at") - F.col("first") + F.col("before")).alias("line"), "raw")
+    out = rows.join(blocks, ["path", "start"]).select("path", (F.col("at") - F.col("first") + F.col("before")).alias("line"), "raw")
     if config.has_header:
         out = out.filter("line > 0")
     return out.filter(~F.col("raw").rlike(r"^\s*$"))

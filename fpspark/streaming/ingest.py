@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import bits
 from ..functions.udfs import mol_props, morgan_fp
 from ..runtime import prepare
-from ..sources.compounds import ReaderConfig, fields
+from ..sources.compounds import ReaderConfig, fields, with_doc_ids, write_compounds
 
 
 def parsed_stream(spark: SparkSession, folder: str, config: ReaderConfig = ReaderConfig(), files_per_trigger: int = 100) -> DataFrame:
@@ -28,10 +28,17 @@ def parsed_stream(spark: SparkSession, folder: str, config: ReaderConfig = Reade
 def start_ingest(spark: SparkSession, folder: str, to: str, checkpoint: str, config: ReaderConfig = ReaderConfig(), once: bool = True) -> StreamingQuery:
     """Featurize arriving files into Parquet at ``to``; with ``once`` the query ends when all there is was read.
 
-    Rows have no doc_id yet: ``compounds.with_doc_ids`` numbers a finished table.
+    Rows have no doc_id yet: ``finish`` makes a compound table of what is there.
     """
     prepare(spark)
     rows = parsed_stream(spark, folder, config).select("path", "compound_id", "smiles", mol_props(F.col("smiles")).alias("p"), morgan_fp(F.col("smiles")).alias("fingerprint"))
     rows = rows.select("path", "compound_id", "smiles", "p.*", "fingerprint", bits.popcount("fingerprint").alias("fp_pop"))
     writer = rows.writeStream.format("parquet").option("path", to).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def finish(spark: SparkSession, streamed: str, to: str) -> None:
+    """A compound table, which searches can read, from what a stream has written: ids are dense in the order of path and compound_id."""
+    prepare(spark)
+    rows = with_doc_ids(spark.read.parquet(streamed), "path", "compound_id", "smiles")
+    write_compounds(rows.drop("path"), to)

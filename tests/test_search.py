@@ -10,9 +10,21 @@ from fpspark.operators import analysis, index, search
 from fpspark.operators.search import PropertyFilter, SimilarityQuery
 from fpspark.plans.engine import SimilarityEngine
 from fpspark.sources import compounds, reports
+from fpspark.sources.fixtures import CORES, SUBSTITUENTS
 
-# A diverse set of molecules (fixed values).
-CORPUS = "CCO CCCO CCCCO CCCCCO c1ccccc1 Cc1ccccc1 CN CC(=O)O CNC(=O)c1ccccc1 c1ccncc1 OCC(O)CO CC(C)Cc1ccc(cc1)C(C)C(=O)O CC(=O)Oc1ccccc1C(=O)O C1CCCCC1 c1ccc2ccccc2c1 NCCO CCN(CC)CC CC(N)C(=O)O OC(=O)c1ccccc1 Clc1ccccc1 CC(C)O c1ccc(cc1)c1ccccc1 O=C(O)c1ccccc1O".split()
+def molecules(n, seed=3):
+    """Molecules put together from frameworks and substituents, no two alike."""
+    rng, out = random.Random(seed), []
+    while len(out) < n:
+        text = CORES[len(out) % len(CORES)].format(a=rng.choice(SUBSTITUENTS), b=rng.choice(SUBSTITUENTS))
+        if text not in out:
+            out.append(text)
+    return out
+
+
+CORPUS = molecules(24)
+#: The ends, and some thresholds between.
+THRESHOLDS = (0, 1, *(round(random.Random(8).random(), 3) for _ in range(1)), 0.07, 0.31, 0.66)
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +55,7 @@ def rows(frame):
 
 
 def test_batch_search_equals_brute_force(spark, post):
-    asked = [(f"{i}-{t}", bits_of(s), float(t)) for i, s in enumerate(CORPUS) for t in (0, 0.1, 0.2, 0.5, 0.75, 0.9, 1)]
+    asked = [(f"{i}-{t}", bits_of(s), float(t)) for i, s in enumerate(CORPUS) for t in THRESHOLDS]
     frame = spark.createDataFrame(asked, "query_id string, bits array<int>, threshold double")
     got = {}
     for r in search.batch(post, frame, 100).orderBy("query_id", "rank").collect():
@@ -108,20 +120,31 @@ def test_random_fingerprints_are_pruned(spark):
     assert search.search(post, q).first().doc_id == 7
 
 
-def test_similarity_join(spark):
+@pytest.mark.parametrize("block", [4096, 5])
+@pytest.mark.parametrize("t", [0.9, 0.55, 1])
+def test_similarity_join(spark, monkeypatch, t, block):
+    """Pairs of different sets, and a row for each copy; sets of one bit, of all, and of very unlike sizes."""
+    monkeypatch.setattr(search, "JOIN_BLOCK", block)
     rng = random.Random(9)
-    base = [set(rng.sample(range(1024), 30)) for _ in range(20)]
-    sets = [(3 * i + k, sorted(b if k == 0 else (b - set(rng.sample(sorted(b), k))))) for i, b in enumerate(base) for k in range(3)]
+    base = [set(rng.sample(range(1024), rng.choice([1, 2, 5, 30, 200]))) for _ in range(20)] + [set(range(1024)), set(range(1000))]
+    sets = [(4 * i + k, sorted(b if k in (0, 3) else (b - set(rng.sample(sorted(b), min(k, len(b) - 1)))))) for i, b in enumerate(base) for k in range(4)]
     frame = spark.createDataFrame(sets, "doc_id long, bits array<int>").select("doc_id", F.explode("bits").alias("bit"))
-    got = {(r.a, r.b) for r in search.similarity_join(index.postings_of_bits(frame), 0.9).collect()}
-    want = {(a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.9}
-    assert got == want
+    got = sorted((r.a, r.b, round(r.score, 5)) for r in search.similarity_join(index.postings_of_bits(frame), t).collect())
+    least = {}
+    for i, x in sets:
+        least.setdefault(tuple(x), i)
+    scores = ((a, b, round(len(set(x) & set(y)) / len(set(x) | set(y)), 5)) for x, a in least.items() for y, b in least.items() if a < b)
+    want = [r for r in scores if r[2] >= t] + [(least[tuple(x)], i, 1.0) for i, x in sets if least[tuple(x)] != i]
+    assert got == sorted(want)
 
 
 def test_bits(spark):
-    cases = [([0b00001111], [0b00111100], 2, 2, 2), ([0x00FF00FF00FF00FF], [0xFF00FF00FF00FF00 - (1 << 64)], 0, 32, 32), ([0], [0], 0, 0, 0)]
+    rng = random.Random(12)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [(rng.getrandbits(64) & rng.getrandbits(64), rng.getrandbits(64)) for _ in range(5)] + [(0, 0), (0, 7), ((1 << 64) - 1, 1 << 63)]
+    cases = [([signed(x)], [signed(y)], (x & y).bit_count(), (x & ~y).bit_count(), (y & ~x).bit_count()) for x, y in words]
     frame = spark.createDataFrame([(i, a + [0] * 15, b + [0] * 15) for i, (a, b, *_) in enumerate(cases)], "i int, a array<long>, b array<long>")
-    for r, (_, _, shared, left, right) in zip(frame.select(B.shared_bits("a", "b").alias("s"), B.popcount("a").alias("p"), B.popcount("b").alias("k"), B.tanimoto("a", "b").alias("t"), B.tanimoto_with_threshold("a", "b", 0.0).alias("w")).orderBy("i").collect(), cases, strict=True):
+    for r, (_, _, shared, left, right) in zip(frame.select("i", B.shared_bits("a", "b").alias("s"), B.popcount("a").alias("p"), B.popcount("b").alias("k"), B.tanimoto("a", "b").alias("t"), B.tanimoto_with_threshold("a", "b", 0.0).alias("w")).orderBy("i").collect(), cases, strict=True):
         assert (r.s, r.p - r.s, r.k - r.s) == (shared, left, right)
         total = shared + left + right
         assert r.t == pytest.approx(shared / total if total else 0)
@@ -129,8 +152,9 @@ def test_bits(spark):
     one = spark.createDataFrame([([0b1011] + [0] * 14 + [-(1 << 63)],)], "f array<long>")
     assert one.select(B.active_bits("f").alias("b")).first().b == [0, 1, 3, 1023]
     assert one.select(B.from_bits(B.active_bits("f")).alias("f")).first().f == one.first().f
-    bound = spark.createDataFrame([(10, 100), (50, 50), (0, 50)], "p int, k int").select(B.upper_bound("p", "k").alias("u")).collect()
-    assert [round(r.u, 4) for r in bound] == [0.1, 1.0, 0.0]
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(20)] + [(0, 9), (9, 0), (31, 31)]
+    bound = spark.createDataFrame(pairs, "p int, k int").select("p", "k", B.upper_bound("p", "k").alias("u")).collect()
+    assert all(r.u == pytest.approx(min(r.p, r.k) / max(r.p, r.k, 1)) for r in bound)
 
 
 def test_explanations(spark):
@@ -157,24 +181,33 @@ def test_index_round_trip(spark, table, tmp_path):
 
 
 def test_blocks(spark):
-    frame = spark.createDataFrame([(7, i, 5) for i in range(300)], "bit int, doc_id long, pop int")
-    got = index.blocks(frame).orderBy("block").collect()
-    assert [(r.block, r.base, r.n_docs) for r in got] == [(0, 0, 128), (1, 127, 128), (2, 255, 44)]
-    bases = spark.createDataFrame([(1, 0, 0), (1, 1, 50), (1, 2, 120)], "bit int, block int, base long")
-    targets = spark.createDataFrame([(1, t) for t in (0, 1, 50, 51, 120, 121)], "bit int, target long")
-    assert [r.block for r in index.block_for(bases, targets).orderBy("target").collect()] == [0, 0, 0, 1, 1, 2]
+    rng = random.Random(4)
+    lists = {bit: sorted(rng.sample(range(5000), n)) for bit, n in ((7, 300), (8, 1), (9, 128), (10, 129), (11, 2000))}
+    frame = spark.createDataFrame([(b, d, 1 + d % 50) for b, ds in lists.items() for d in ds], "bit int, doc_id long, pop int")
+    want, bases = [], {}
+    for bit, ds in lists.items():
+        parts = [ds[k : k + index.BLOCK] for k in range(0, len(ds), index.BLOCK)]
+        bases[bit] = [0, *(x[-1] for x in parts[:-1])]
+        want += [(bit, k, bases[bit][k], x[0], x[-1], len(x), min(1 + d % 50 for d in x), max(1 + d % 50 for d in x)) for k, x in enumerate(parts)]
+    got = index.blocks(frame)
+    assert sorted((r.bit, r.block, r.base, r.first_doc, r.last_doc, r.n_docs, r.min_pop, r.max_pop) for r in got.collect()) == want
+    asked = sorted({(bit, t) for bit in lists for t in [0, 1, 9999, *rng.sample(range(5000), 8), *bases[bit], *(x + 1 for x in bases[bit])]})
+    targets = spark.createDataFrame([*asked, (500, 3)], "bit int, target long")  # a bit without a list has no block
+    found = {(r.bit, r.target): r.block for r in index.block_for(got, targets).collect()}
+    assert found == {(bit, t): max([k for k, x in enumerate(bases[bit]) if x < t], default=0) for bit, t in asked}
 
 
 def test_engine(spark, table, post):
     engine = SimilarityEngine(spark, post, table)
-    out = engine.respond("CC(=O)Oc1ccccc1C(=O)O", 0.1, 8)
-    assert out.results[0]["score"] == 1.0 and out.results[0]["compound_id"] == "Z12"
+    out = engine.respond(CORPUS[10], 0.1, 8)
+    assert out.results[0]["score"] == 1.0 and out.results[0]["compound_id"] == "Z10"
+    assert out.docs_evaluated == search.search_stats(post, engine.query(CORPUS[10], 0.1, 8), len(CORPUS)).first().docs_evaluated
     assert sum(g["count"] for g in out.scaffold_groups) == len(out.results)
     assert all(len(t["rows"]) == t["members"] >= 2 for t in out.rgroup_tables)
-    few = engine.respond("CC(=O)Oc1ccccc1C(=O)O", 0.1, 8, diverse=True, stats=False)
+    few = engine.respond(CORPUS[10], 0.1, 8, diverse=True, stats=False)
     keys = [r["scaffold_key"] for r in few.results if r["scaffold_key"]]
     assert len(keys) == len(set(keys)) and len(few.results) < len(out.results)
-    assert SimilarityEngine(spark, None, table).respond("CCO", 0.3, 5).results[0]["score"] == 1.0
+    assert SimilarityEngine(spark, None, table).respond(CORPUS[2], 0.3, 5).results[0]["score"] == 1.0
     assert "postings" in engine.explain(engine.query("CCO", 0.0)) and "band" in engine.explain(engine.query("CCO", 0.2))
     with pytest.raises(ValueError):
         engine.query("[")
@@ -203,9 +236,9 @@ def test_sar_tables(spark):
 
 
 def test_batch_report(spark, table, post, tmp_path):
-    (tmp_path / "q.txt").write_text("# comment\n\nCCO first\nc1ccccc1\n[ bad\n")
+    (tmp_path / "q.txt").write_text(f"# comment\n\n{CORPUS[4]} first\n{CORPUS[5]}\n[ bad\n")
     asked = reports.read_queries(spark, f"file://{tmp_path}/q.txt")
-    assert [(r.query_id, r.smiles) for r in asked.orderBy("line").collect()] == [("first", "CCO"), ("Q4", "c1ccccc1"), ("bad", "[")]
+    assert [(r.query_id, r.smiles) for r in asked.orderBy("line").collect()] == [("first", CORPUS[4]), ("Q4", CORPUS[5]), ("bad", "[")]
     engine = SimilarityEngine(spark, post, table)
     plain = engine.search_batch(asked, 0.3, 3)
     by = {}
@@ -215,6 +248,7 @@ def test_batch_report(spark, table, post, tmp_path):
     assert sorted(r["rank"] for r in by["first"]) == [str(i + 1) for i in range(len(by["first"]))] != [""]
     full = engine.search_batch(asked, 0.3, 3, resolve=True)
     assert tuple(full.columns) == reports.RESOLVED
-    assert full.filter("query_id = 'first' and rank = '1'").first().compound_smiles == "CCO"
+    assert full.filter("query_id = 'first' and rank = '1'").first().compound_smiles == CORPUS[4]
+    assert by["bad"][0].docs_evaluated == "" and all(int(r.docs_evaluated) >= len(by["first"]) and float(r.eval_fraction_pct) == pytest.approx(100 * int(r.docs_evaluated) / len(CORPUS), abs=1e-6) for r in by["first"])
     reports.write_tsv(full, f"file://{tmp_path}/out")
     assert spark.read.option("sep", "\t").option("header", True).csv(f"file://{tmp_path}/out").count() == full.count()

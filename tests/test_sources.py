@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from fpspark import api, cli
 from fpspark.functions import udfs
+from fpspark.functions.fingerprint import bits as bits_of
 from fpspark.operators import index
 from fpspark.plans.engine import SimilarityEngine
 from fpspark.sources import compounds
+from fpspark.sources.fixtures import CORES, SUBSTITUENTS
 from fpspark.streaming import ingest as streaming
 
-FIVE = "smiles\tid\nCCO\tZ0000000001\nc1ccccc1\tZ0000000002\nCC(=O)Oc1ccccc1C(=O)O\tZ0000000003\nCNC(=O)c1ccccc1\tZ0000000004\nCCN(CC)CC\tZ0000000005\n"
+SMILES = [core.format(a=a, b="O") for core, a in zip(CORES[:5], SUBSTITUENTS, strict=False)]
+FIVE = "SMILES\tname\n" + "".join(f"{x}\tL-{k}\n" for k, x in enumerate(SMILES))
 
 
 @pytest.fixture(scope="module")
@@ -30,8 +33,8 @@ def test_round_trip(spark, tables):
     path, stats = tables
     assert (stats.total_lines, stats.parsed_ok, stats.parse_failures) == (5, 5, 0)
     rows = compounds.read_table(spark, f"file://{path}/compounds").orderBy("doc_id").collect()
-    assert [(r.doc_id, r.compound_id) for r in rows] == [(i, f"Z000000000{i + 1}") for i in range(5)]
-    assert [r.fp_pop for r in rows[:3]] == [9, 3, 27]
+    assert [(r.doc_id, r.compound_id) for r in rows] == [(i, f"L-{i}") for i in range(5)]
+    assert [r.fp_pop for r in rows] == [len(bits_of(x)) for x in SMILES]
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         compounds.ingest(spark, f"file://{path}/in.bz2", f"file://{path}/compounds")
 
@@ -80,14 +83,17 @@ def test_stream(spark, tmp_path):
     go()
     rows = spark.read.parquet(f"file://{tmp_path}/out")
     assert rows.count() == 6 and rows.filter("compound_id = 'X'").count() == 1
-    assert compounds.with_doc_ids(rows, "path", "compound_id").agg(F.max("doc_id")).first()[0] == 5
+    streaming.finish(spark, f"file://{tmp_path}/out", f"file://{tmp_path}/table")
+    table = compounds.read_table(spark, f"file://{tmp_path}/table")
+    assert sorted(r.doc_id for r in table.collect()) == list(range(6))
+    assert SimilarityEngine(spark, index.postings(table), table).respond("CCCC", 0.9, 2).results[0]["compound_id"] == "X"
 
 
 def test_command_line(spark, tables, tmp_path, capsys):
     path, _ = tables
     run = lambda *a: cli.main(list(a))
     at = ["--index", f"file://{path}/index", "--compounds", f"file://{path}/compounds"]
-    run("search", *at, "--query", "CCO", "--threshold", "0.05", "--top-k", "3", "--stats", "--diverse")
+    run("search", *at, "--query", SMILES[0], "--threshold", "0.05", "--top-k", "3", "--stats", "--diverse")
     assert "1.0000" in capsys.readouterr().out
     run("verify", *at)
     assert "0 mismatches" in capsys.readouterr().out
@@ -117,14 +123,14 @@ def test_http(spark, tables):
     try:
         with urllib.request.urlopen(f"{base}/health") as r:
             assert json.loads(r.read())["compounds"] == 5
-        status, out = post({"smiles": "CCO", "threshold": 0.05, "top_k": 3})
-        assert status == 200 and out["results"][0]["score"] == 1.0 and out["query_pop"] == 9
+        status, out = post({"smiles": SMILES[0], "threshold": 0.05, "top_k": 3})
+        assert status == 200 and out["results"][0]["score"] == 1.0 and out["query_pop"] == len(bits_of(SMILES[0]))
         assert set(out["results"][0]) == {*api.ALWAYS, *api.RESOLVED}
         for bad in ({"smiles": "CCO", "threshold": 2}, {"smiles": "CCO", "top_k": 0}, {"smiles": "["}, {}):
             assert post(bad)[0] == 400
         bare = SimilarityEngine(spark, index.read_index(spark, f"file://{path}/index"))
         assert api.handle(bare, {"smiles": "CCO", "diverse": True})[0] == 400
         assert api.handle(bare, {"smiles": "CCO", "mw_max": 100})[0] == 400
-        assert set(api.handle(bare, {"smiles": "CCO", "threshold": 0.1})[1]["results"][0]) == set(api.ALWAYS)
+        assert set(api.handle(bare, {"smiles": SMILES[0], "threshold": 0.1})[1]["results"][0]) == set(api.ALWAYS)
     finally:
         server.shutdown()
