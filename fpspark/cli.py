@@ -76,7 +76,7 @@ def bench_linear(spark, args):
 
     table, query = tables.read_table(spark, args.compounds), bits_of(args.query)
     began = time.perf_counter()
-    search.linear(table, bits.from_bits(F.array(*map(F.lit, query))), args.threshold, args.top_k, args.sample).show(args.top_k)
+    search.linear(table, query, args.threshold, args.top_k, args.sample).show(args.top_k)
     took, n = time.perf_counter() - began, table.count()
     seen = n if args.sample is None else min(n, args.sample)
     print(f"{seen} compounds in {took:.2f} s; {took * n / max(1, seen):.2f} s for all {n}")

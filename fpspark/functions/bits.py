@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fingerprint import words
+
 BITS, WORDS = 1024, 16
 
 
@@ -78,6 +80,11 @@ def from_bits(bits) -> Column:
     )
 
 
+def literal(bits) -> Column:
+    """Some bits, known to the driver, as a fingerprint: its words are constants in the plan, not worked out for each row."""
+    return F.array(*[F.lit(w).cast("long") for w in words(bits)])
+
+
 def least_shared(threshold, p) -> Column:
     """Bits that a fingerprint of p bits must share at least with one that scores ``threshold``: never more than truly needed."""
     threshold = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else threshold

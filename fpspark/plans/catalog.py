@@ -141,7 +141,7 @@ SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score FR
 
 def e_linear(spark, sf_dir, t, k):
     fps, q = e_fps(spark, sf_dir), e_query(spark, sf_dir)
-    return search.linear(fps, bits.from_bits(F.array(*map(F.lit, q.bits))), t, k)
+    return search.linear(fps, q.bits, t, k)
 
 
 @query("emb_linear_topk", LINEAR.format(t=E_T, k=E_K))
@@ -151,7 +151,7 @@ def emb_linear_topk(spark, sf_dir):
 
 @query("emb_linear_zero_threshold", f"{E_HEAD} SELECT doc_id, coalesce(score, 0::FLOAT) AS score FROM e_pop LEFT JOIN e_s USING (doc_id)")
 def emb_linear_zero_threshold(spark, sf_dir):
-    return search.scan(e_fps(spark, sf_dir), bits.from_bits(F.array(*map(F.lit, e_query(spark, sf_dir).bits))), 0.0)
+    return search.scan(e_fps(spark, sf_dir), e_query(spark, sf_dir).bits, 0.0)
 
 
 def labelled(spark, sf_dir):
@@ -224,7 +224,7 @@ def emb_upper_bound(spark, sf_dir):
 
 @query("emb_pair_threshold", f"""{E_HEAD} SELECT doc_id, coalesce(score, 0::FLOAT) AS score, coalesce(score >= 0.06::FLOAT, false) AS passes FROM e_pop LEFT JOIN e_s USING (doc_id)""")
 def emb_pair_threshold(spark, sf_dir):
-    q = bits.from_bits(F.array(*map(F.lit, e_query(spark, sf_dir).bits)))
+    q = bits.literal(e_query(spark, sf_dir).bits)
     return e_fps(spark, sf_dir).select("doc_id", bits.tanimoto_with_threshold("fingerprint", q, 0.06).alias("t")).select("doc_id", "t.score", "t.passes")
 
 

@@ -87,7 +87,7 @@ class SimilarityEngine:
             return search.search_overfetch(self.postings, query, self.compounds, overfetch)
         if plan_for(query, self.postings is not None) == "linear":
             rows = self.compounds.filter(query.column())
-            mine = bits.from_bits(F.array(*map(F.lit, query.bits)))
+            mine = bits.literal(query.bits)
             pops = rows.select("doc_id", bits.shared_bits("fingerprint", mine).alias("c"), F.col("fp_pop").alias("k")).filter("c > 0")
             return search.ranked(pops.withColumn("score", bits.ratio(F.col("c"), F.lit(query.pop) + F.col("k") - F.col("c"))).filter(bits.reaches("score", query.threshold)), query.top_k).select("rank", "doc_id", "score", "c", "k")
         return search.search(self.postings, query, self.compounds, observed=observed)

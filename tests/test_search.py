@@ -71,12 +71,12 @@ def test_top_k_and_plans_agree(table, post, k):
     assert rows(search.search(post, q)) == expected
     assert rows(search.search(post, q, band=False)) == expected
     assert [r.rank for r in search.search(post, q).orderBy("rank").collect()] == list(range(1, len(expected) + 1))
-    mine = B.from_bits(F.array(*map(F.lit, q.bits)))
+    mine = q.bits
     assert rows(search.linear(table, mine, 0.05, k)) == expected
 
 
 def test_linear_scan_keeps_zero_scores_at_threshold_zero(table):
-    mine = B.from_bits(F.array(*map(F.lit, bits_of("CCO"))))
+    mine = bits_of("CCO")
     assert search.linear(table, mine, 0.0, 100).count() == len(CORPUS)
 
 
