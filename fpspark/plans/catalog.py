@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..functions.fingerprint import bits as bits_of
 from ..functions.udfs import mol_props, morgan_fp
 from ..operators import analysis, index, search
 from ..runtime import materialize, new_path, prepare
@@ -321,19 +322,29 @@ def molecule_fps(spark, sf_dir):
     return fixtures.molecules(spark, sf_dir).withColumn("fingerprint", morgan_fp(F.col("smiles")))
 
 
-@query("mol_fp_topk")
-def mol_fp_topk(spark, sf_dir):
-    from ..functions.fingerprint import bits as bits_of
+M_QUERY, M_T, M_K = "CC(=O)Oc1ccccc1C(=O)O", 0.1, 20
+
+
+def library_bits_sql() -> str:
+    """(smiles, bits) of every molecule that fixture M can hold, and of the query, for SQL that has no fingerprints of its own: it checks the search, the kernels' tests check the bits."""
+    made = {core.replace("{a}", a).replace("{b}", b) for core in fixtures.CORES for a in fixtures.SUBSTITUENTS for b in fixtures.SUBSTITUENTS}
+    return ", ".join(f"('{x}', {sorted(bits_of(x))})" for x in sorted(made | {M_QUERY}))
 
-    q = search.SimilarityQuery(tuple(bits_of("CC(=O)Oc1ccccc1C(=O)O")), 0.1, 20)
-    return search.search(index.postings(molecule_fps(spark, sf_dir)), q)
+
+@query("mol_fp_topk", f"""WITH {M_SQL}, known AS (SELECT * FROM (VALUES {library_bits_sql()}) v(smiles, bits)),
+m_bits AS (SELECT doc_id, unnest(bits)::INT AS bit FROM m JOIN known USING (smiles)),
+m_pop AS (SELECT doc_id, count(*)::INT AS pop FROM m_bits GROUP BY doc_id),
+q AS (SELECT unnest(bits)::INT AS bit FROM known WHERE smiles = '{M_QUERY}'),
+m_c AS (SELECT doc_id, count(*)::INT AS c FROM m_bits JOIN q USING (bit) GROUP BY doc_id),
+m_s AS (SELECT doc_id, c, pop AS k, (c::DOUBLE / ((SELECT count(*) FROM q) + pop - c))::FLOAT AS score FROM m_c JOIN m_pop USING (doc_id))
+{top_sql(M_K, f'score >= {M_T}::FLOAT', 'm')}""")
+def mol_fp_topk(spark, sf_dir):
+    return search.search(index.postings(molecule_fps(spark, sf_dir)), search.SimilarityQuery(tuple(bits_of(M_QUERY)), M_T, M_K))
 
 
 @query("mol_identical", f"WITH {M_SQL}, one AS (SELECT smiles FROM m WHERE doc_id = (SELECT min(doc_id) FROM m)) SELECT doc_id FROM m JOIN one USING (smiles)")
 def mol_identical(spark, sf_dir):
     """Molecules with the text of the first one, by their score of 1."""
-    from ..functions.fingerprint import bits as bits_of
-
     rows = molecule_fps(spark, sf_dir)
     first = rows.orderBy("doc_id").select("smiles").first().smiles
     hits = search.search_all(index.postings(rows), search.SimilarityQuery(tuple(bits_of(first)), 1.0))
