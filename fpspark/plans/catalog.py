@@ -416,7 +416,7 @@ def emb_score_summary(spark, sf_dir):
 @query("emb_resolved_topk", f"""{E_HEAD}, top AS ({top_sql(E_K, f'score >= {E_T}::FLOAT')}) SELECT rank, doc_id, score, label FROM top JOIN embeddings ON vec_id = doc_id""")
 def emb_resolved_topk(spark, sf_dir):
     table = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    return compounds.take(table, search.search(e_post(spark, sf_dir), e_query(spark, sf_dir))).select("rank", "doc_id", "score", "label")
+    return compounds.take(table, search.search(e_post(spark, sf_dir), e_query(spark, sf_dir)), E_K).select("rank", "doc_id", "score", "label")
 
 
 def e_index(spark, sf_dir):

@@ -117,7 +117,7 @@ class SimilarityEngine:
         ranked = analysis.analyze(self.spark.createDataFrame(hits, "rank int, doc_id long, score float, c int, k int"), query.pop)
         if self.compounds is not None:
             columns = [c for c in self.compounds.columns if c not in ("fingerprint", "fp_pop")]
-            ranked = analysis.with_r_groups(analysis.with_scaffolds(tables.take(self.compounds.select(*columns), ranked)))
+            ranked = analysis.with_r_groups(analysis.with_scaffolds(tables.take(self.compounds.select(*columns), ranked, len(hits))))
         ranked = self.spark.createDataFrame([r.asDict(True) for r in ranked.orderBy("rank").collect()], ranked.schema)
         chosen = analysis.diverse(ranked) if diverse else ranked
         out.results = [r.asDict(True) for r in chosen.orderBy("rank").collect()]

@@ -20,6 +20,8 @@ from ..schema import COMPOUNDS, VERSION
 
 #: Rows of a file of a compound table.
 ROWS_PER_FILE = 1_000_000
+#: Hits that are broadcast, at most.
+SENT = 100_000
 TRIM = r"^[\s\x00]+|[\s\x00]+$"
 
 
@@ -144,6 +146,6 @@ def read_table(spark: SparkSession, path: str, kind: str = "compounds", schema=C
     return out
 
 
-def take(compounds: DataFrame, hits: DataFrame) -> DataFrame:
-    """The compounds of ranked hits, all columns of both; ``hits`` are few, so they are sent to the compounds."""
-    return compounds.join(F.broadcast(hits), "doc_id")
+def take(compounds: DataFrame, hits: DataFrame, most: int) -> DataFrame:
+    """The compounds of ranked hits, all columns of both. ``hits`` of ``most`` rows at most are sent to the compounds, up to SENT; beyond, Spark chooses."""
+    return compounds.join(F.broadcast(hits) if most <= SENT else hits, "doc_id")
