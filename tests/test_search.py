@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +139,16 @@ def test_similarity_join(spark, monkeypatch, t, block):
     assert got == sorted(want)
 
 
+def test_reports_print_numbers_as_sql_does(spark):
+    """Ties of the exact value go to even, and what only looks like a tie in its shortest text does not round up."""
+    numbers = [5 / 32, 1 / 32, 3 / 32, 0.00015, 0.12345, 0.5, None, 7 / 128]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    got = frame.select("i", reports.fixed(F.col("x"), 4).alias("t"), reports.fixed(F.col("x"), 6).alias("u")).orderBy("i").collect()
+    con = duckdb.connect()
+    assert [(r.t, r.u) for r in got] == [(None, None) if x is None else con.execute("SELECT printf('%.4f', ?::DOUBLE), printf('%.6f', ?::DOUBLE)", [x, x]).fetchall()[0] for x in numbers]
+    assert got[0].t == "0.1562" and got[7].u == "0.054688"
+
+
 def test_bits(spark):
     rng = random.Random(12)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
