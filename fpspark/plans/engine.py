@@ -136,8 +136,8 @@ class SimilarityEngine:
             raise ValueError("filters need a table with properties")
         asked = queries.select("query_id", F.col("smiles").alias("query_smiles"), morgan_fp(F.col("smiles")).alias("fp")).withColumns({"bits": bits.active_bits("fp"), "threshold": F.lit(float(threshold))}).drop("fp")
         condition = SimilarityQuery((), 0, 1, tuple(filters)).column() if filters else None
-        # Written, queries and candidates are made once for results and statistics.
+        # Written, queries are made once.
         asked = materialize(asked, "asked")
-        found = materialize(search.batch_candidates(self.postings, asked, self.compounds, condition), "candidates")
-        plain = reports.batch_report(asked, search.batch_ranked(found, top_k), search.batch_stats(found, asked, self.num_compounds))
+        results, stats = search.batch_sets(search.asked_sets(self.postings, asked, self.compounds, condition), asked, top_k, evaluated=True)
+        plain = reports.batch_report(asked, results, stats.withColumn("corpus_size", F.lit(self.num_compounds).cast("long")))
         return reports.resolved_report(plain, self.compounds) if resolve else plain

@@ -149,6 +149,39 @@ def test_reports_print_numbers_as_sql_does(spark):
     assert got[0].t == "0.1562" and got[7].u == "0.054688"
 
 
+@pytest.mark.parametrize("block", [32768, 5])
+def test_batch_of_sets(spark, monkeypatch, block):
+    """Copies, queries that are copies, ties, dense sets, thresholds 0 and 1, counts of candidates; and top_k rows a query and pair of blocks leave the tasks."""
+    monkeypatch.setattr(search, "JOIN_BLOCK", block)
+    monkeypatch.setattr(search, "QUERY_BLOCK", block)
+    rng = random.Random(11)
+    base = [frozenset(rng.sample(range(1024), rng.choice([1, 3, 20, 20, 300, 1000]))) for _ in range(20)]
+    sets = dict(enumerate(base * 3))
+    frame = spark.createDataFrame([(i, sorted(b)) for i, b in sets.items()], "doc_id long, bits array<int>").select("doc_id", F.explode("bits").alias("bit"))
+    fps = index.sets_of_bits(frame.union(frame)).cache()
+    asked = [(f"{i}-{t}", sorted(sets[i]), t) for i in (0, 1, 2, 5, 22, 25) for t in (0.0, 0.05, 0.3, 1.0)] + [("none", [], 0.1), ("bad", [1], 1.5)]
+    results, stats = search.batch_sets(fps, spark.createDataFrame(asked, "query_id string, bits array<int>, threshold double"), 7, evaluated=True)
+    got = {}
+    for r in results.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, round(r.score, 5), r.c, r.k, r.p))
+    counts = {r.query_id: r.docs_evaluated for r in stats.collect()}
+    assert set(counts) == {a[0] for a in asked[:-2]} and not {"none", "bad"} & set(got)
+    for name, x, t in asked[:-2]:
+        x = set(x)
+        near = sorted((-len(x & b) / len(x | b), i) for i, b in sets.items() if x & b)
+        want = [(n + 1, i, round(-s, 5), len(x & sets[i]), len(sets[i]), len(x)) for n, (s, i) in enumerate([(s, i) for s, i in near if -s >= t][:7])]
+        assert got.get(name, []) == want, name
+        assert counts[name] == sum(len(x & b) >= max(1, t * len(x) - 1e-3) and t * len(x) <= len(b) + 1e-3 and len(b) * t <= len(x) + 1e-3 for b in sets.values()), name
+
+
+def test_batch_joins_no_bits(spark):
+    """Rows of bits meet no queries, however many there are: their number would grow with the product."""
+    frame = spark.createDataFrame([(i, b) for i in range(40) for b in range(30)], "doc_id long, bit int")
+    fps = index.sets_of_bits(frame)
+    (found,) = [search.batch_sets(fps, fps.select(F.col("doc_id").alias("query_id"), "fingerprint", F.lit(0.1).alias("threshold")), 3)[0]]
+    assert "explode" not in found._jdf.queryExecution().toString() and found.count() == 120
+
+
 def test_bits(spark):
     rng = random.Random(12)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
