@@ -182,6 +182,14 @@ def test_batch_joins_no_bits(spark):
     assert "explode" not in found._jdf.queryExecution().toString() and found.count() == 120
 
 
+def test_similarity_join_leaves_few_rows_to_move(spark):
+    """A row for each pair of blocks that a set is in, not one for each bit of its prefix."""
+    rng = random.Random(2)
+    frame = spark.createDataFrame([(i, b) for i in range(200) for b in rng.sample(range(1024), 300)], "doc_id long, bit int")
+    frame = search.similarity_join(frame.union(frame), 0.8)
+    assert "bit#" not in frame._jdf.queryExecution().optimizedPlan().toString() and frame.count() == 0
+
+
 def test_bits(spark):
     rng = random.Random(12)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
