@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,19 @@ R_GROUP = T.StructType([T.StructField("attach_color", T.IntegerType()), T.Struct
 DECOMPOSITION = T.StructType([T.StructField("scaffold_key", T.LongType()), T.StructField("scaffold_smiles", T.StringType()), T.StructField("r_groups", T.ArrayType(R_GROUP))])
 
 
+#: Results of each kernel that a worker remembers, and characters of a text that is worth it, at most.
+REMEMBERED, LONGEST = 4096, 200
+
+
+@lru_cache(maxsize=None)
+def _remembering(kernel):
+    return lru_cache(maxsize=REMEMBERED)(kernel)
+
+
 def _distinct(texts: pd.Series, kernel, empty):
-    """The kernel of each text, once for each distinct text of a batch; null texts have ``empty``."""
-    done = {t: kernel(t) for t in texts.dropna().unique()}
+    """The kernel of each text, once for each distinct text of a batch, and not again for those that the worker remembers; null texts have ``empty``."""
+    known = _remembering(kernel)
+    done = {t: known(t) if len(t) <= LONGEST else kernel(t) for t in texts.dropna().unique()}
     return [done[t] if t in done else empty for t in texts]
 
 
@@ -37,8 +49,13 @@ def _scaffolds(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(_distinct(texts, frames.analyze, frames.Scaffold()), columns=SCAFFOLD.names).astype({"framework_fraction": "float32"})
 
 
+def _decomposition(text: str):
+    d = frames.decompose(text)
+    return d.scaffold_key, d.scaffold_smiles, [g._asdict() for g in d.r_groups]
+
+
 def _decompositions(texts: pd.Series) -> pd.DataFrame:
-    rows = _distinct(texts, lambda t: (lambda d: (d.scaffold_key, d.scaffold_smiles, [g._asdict() for g in d.r_groups]))(frames.decompose(t)), (0, "", []))
+    rows = _distinct(texts, _decomposition, (0, "", []))
     return pd.DataFrame(rows, columns=DECOMPOSITION.names)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import explain
 from ..functions.udfs import murcko_scaffold, r_groups
-from ..runtime import prepare
+from ..runtime import materialize, prepare
 
 
 def analyze(hits: DataFrame, p) -> DataFrame:
@@ -52,15 +52,18 @@ def sar_cells(rows: DataFrame) -> DataFrame:
     A table for each framework with two members or more; columns are the
     distinct attachment colours of its members, in order; ``rank`` names the row.
     """
-    keyed = rows.filter("scaffold_key <> 0")
+    # Written, rows are decomposed once; so are tables, whose size is then known, so that few of them are sent to the rows.
+    keyed = materialize(rows.filter("scaffold_key <> 0").select("scaffold_key", "scaffold_smiles", "rank", "r_groups"), "keyed")
     size = keyed.groupBy("scaffold_key").agg(F.count("*").alias("members"), F.min_by("scaffold_smiles", "rank").alias("scaffold_smiles")).filter("members > 1")
-    groups = keyed.join(size.select("scaffold_key"), "scaffold_key").select("scaffold_key", "rank", F.explode("r_groups").alias("g"))
+    groups = keyed.select("scaffold_key", "rank", F.explode("r_groups").alias("g"))
     labels = groups.groupBy("scaffold_key", F.col("g.attach_color").alias("color")).agg(F.min_by("g.attach_symbol", "rank").alias("attach_symbol"))
-    order = Window.partitionBy("scaffold_key").orderBy("color")
-    labels = labels.withColumn("label", F.concat(F.lit("R"), F.row_number().over(order).cast("string")))
-    filled = groups.groupBy("scaffold_key", "rank", F.col("g.attach_color").alias("color")).agg(F.sort_array(F.collect_list("g.smiles")).alias("cell"))
-    grid = keyed.select("scaffold_key", "rank").join(size, "scaffold_key").join(labels, "scaffold_key")
-    return grid.join(filled, ["scaffold_key", "rank", "color"], "left").select("scaffold_key", "scaffold_smiles", "members", "label", "attach_symbol", "rank", "cell")
+    labels = labels.groupBy("scaffold_key").agg(F.array_sort(F.collect_list(F.struct("color", "attach_symbol"))).alias("labels"))
+    tables = materialize(size.join(labels, "scaffold_key"), "tables")
+    grid = keyed.drop("scaffold_smiles").join(tables, "scaffold_key").select("*", F.posexplode("labels").alias("place", "of"))
+    own = F.filter("r_groups", lambda g: g["attach_color"] == F.col("of.color"))
+    cell = F.when(F.size(own) > 0, F.sort_array(F.transform(own, lambda g: g["smiles"])))
+    label = F.concat(F.lit("R"), (F.col("place") + 1).cast("string"))
+    return grid.select("scaffold_key", "scaffold_smiles", "members", label.alias("label"), F.col("of.attach_symbol").alias("attach_symbol"), "rank", cell.alias("cell"))
 
 
 def sar_tables(rows: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fpspark.functions import bits as B
-from fpspark.functions import explain
+from fpspark.functions import explain, udfs
 from fpspark.functions.fingerprint import bits as bits_of
 from fpspark.operators import analysis, index, search
 from fpspark.operators.search import PropertyFilter, SimilarityQuery
@@ -287,6 +288,15 @@ def test_sar_tables(spark):
     assert tables("Cc1ccccc1", "CCO", "CCC") == []
 
 
+def test_tables_decompose_each_row_once(spark):
+    """The plan of the tables of substituents reads rows that are written: it holds no kernel, and each text is worked on once in a worker."""
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(CORPUS)], "rank int, smiles string")
+    assert "ArrowEvalPython" not in analysis.sar_cells(analysis.with_r_groups(frame))._jdf.queryExecution().toString()
+    asked = []
+    udfs._distinct(pd.Series(["x", "y", None, "x"]), kernel := lambda t: asked.append(t) or len(t), 0)
+    assert udfs._distinct(pd.Series(["y", "z", None]), kernel, 0) == [1, 1, 0] and asked == ["x", "y", "z"]
+
+
 def test_batch_report(spark, table, post, tmp_path):
     (tmp_path / "q.txt").write_text(f"# comment\n\n{CORPUS[4]} first\n{CORPUS[5]}\n[ bad\n")
     asked = reports.read_queries(spark, f"file://{tmp_path}/q.txt")
