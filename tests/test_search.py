@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fpspark.functions import bits as B
 from fpspark.functions import explain, udfs
 from fpspark.functions.fingerprint import bits as bits_of
+from fpspark.functions.fingerprint import words
 from fpspark.operators import analysis, index, search
 from fpspark.operators.search import PropertyFilter, SimilarityQuery
 from fpspark.plans.engine import SimilarityEngine
@@ -297,6 +298,15 @@ def test_tables_decompose_each_row_once(spark):
     assert udfs._distinct(pd.Series(["y", "z", None]), kernel, 0) == [1, 1, 0] and asked == ["x", "y", "z"]
 
 
+def test_postings_of_fingerprints(spark):
+    """Bits of all words, first and last; empty and null fingerprints have none. No column expression looks at each of 1024 bits."""
+    sets = [[0, 63, 64, 1023], [], list(range(1024)), [63]]
+    frame = spark.createDataFrame([*((i, words(b)) for i, b in enumerate(sets)), (9, None)], "doc_id int, fingerprint array<long>")
+    post = index.postings(frame)
+    assert post.columns == ["bit", "doc_id", "pop"] and "sequence(0, 1023" not in post._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.bit, r["pop"]) for r in post.collect()) == [(i, b, len(x)) for i, x in enumerate(sets) for b in x]
+
+
 def test_batch_report(spark, table, post, tmp_path):
     (tmp_path / "q.txt").write_text(f"# comment\n\n{CORPUS[4]} first\n{CORPUS[5]}\n[ bad\n")
     asked = reports.read_queries(spark, f"file://{tmp_path}/q.txt")
