@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,16 @@ def test_batch_of_sets(spark, monkeypatch, block):
         assert counts[name] == sum(len(x & b) >= max(1, t * len(x) - 1e-3) and t * len(x) <= len(b) + 1e-3 and len(b) * t <= len(x) + 1e-3 for b in sets.values()), name
 
 
+def test_tasks_of_a_batch_keep_few_rows():
+    """However many documents reach the threshold, a task keeps and returns top_k rows a query."""
+    n, one = 5000, [(1 << 62) - 1] * 16
+    made = {"tile": [0] * (n + 2), "side": [0, 0] + [1] * n, "id": [0, 1, *range(n)], "n": [0, 0] + [1] * n, "pop": [62 * 16] * (n + 2), "threshold": [0.05, 0.5] + [0.0] * n}
+    kinds = {"tile": pa.int32(), "side": pa.int32(), "pop": pa.int32(), "threshold": pa.float64()}
+    table = pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in made.items()} | {"fingerprint": pa.array([one] * (n + 2), pa.list_(pa.int64()))})
+    out = pa.Table.from_batches(search._search_tiles(3, False)(iter(table.to_batches(max_chunksize=700))))
+    assert sorted(zip(out["qid"].to_pylist(), out["id"].to_pylist(), out["c"].to_pylist())) == [(q, i, 992) for q in (0, 1) for i in range(3)]
+
+
 def test_batch_joins_no_bits(spark):
     """Rows of bits meet no queries, however many there are: their number would grow with the product."""
     frame = spark.createDataFrame([(i, b) for i in range(40) for b in range(30)], "doc_id long, bit int")
